@@ -22,8 +22,10 @@ PRIVATE_V4 = (
     ("203.0.113.0", "203.0.113.255"),
     ("240.0.0.0", "255.255.255.255"),
 )
-# Prefixes of IPv6 text forms that are loopback, local or reserved.
-PRIVATE_V6 = r"^(::1?$|::ffff:|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|2001:db8:|100:)"
+# IPv6 text forms that are globally routable, and the local or
+# documentation ranges among them. Everything else is loopback, local or reserved.
+ROUTABLE_V6 = r"^([23][0-9a-f]{3}:|ff[0-9a-f]{2}:|fe[c-f][0-9a-f]:)"
+LOCAL_V6 = r"^2001:(db8:|:|0*1?[0-9a-f]{1,2}:)"
 V4_PATTERN = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
 
 
@@ -58,7 +60,9 @@ def is_non_public_ip(ip: Column) -> Column:
     ranges = F.lit(False)
     for first, last in PRIVATE_V4:
         ranges = ranges | n.between(_number(first), _number(last))
-    return F.coalesce(ranges, F.lit(False)) | (ip.contains(":") & F.lower(ip).rlike(PRIVATE_V6))
+    v6 = F.lower(ip)
+    local_v6 = ip.contains(":") & (~v6.rlike(ROUTABLE_V6) | v6.rlike(LOCAL_V6))
+    return F.coalesce(ranges, F.lit(False)) | local_v6
 
 
 def is_safe_url(url: Column, allowed_domains=None) -> Column:
