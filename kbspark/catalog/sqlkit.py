@@ -86,22 +86,21 @@ def with_ctes(body: str, ctes: dict[str, str], recursive: bool = False) -> str:
     """Prefix ``body`` with the CTEs it needs, in dependency order."""
     needed: list[str] = []
 
-    def visit(sql: str):
-        for name, text in ctes.items():
-            if re.search(rf"\b{name}\b", sql) and name not in needed:
-                if text is not sql:
-                    visit_name(name)
-
-    def visit_name(name: str):
-        text = ctes[name]
+    def add(name: str):
         for other in ctes:
-            if other != name and other not in needed and re.search(rf"\b{other}\b", text):
-                visit_name(other)
+            if other != name and other not in needed and re.search(rf"\b{other}\b", ctes[name]):
+                add(other)
         if name not in needed:
             needed.append(name)
 
-    visit(body)
+    for name in ctes:
+        if re.search(rf"\b{name}\b", body):
+            add(name)
     if not needed:
         return body
     head = "WITH RECURSIVE " if recursive else "WITH "
-    return head + ",\n".join(f"{n} AS ({ctes[n]})" for n in needed) + "\n" + body
+    # Recursive steps would otherwise evaluate the relations they read again and again.
+    how = "AS MATERIALIZED" if recursive else "AS"
+    return head + ",\n".join(
+        f"{n} {'AS' if re.search(rf'FROM {n}' + chr(92) + 'b', ctes[n]) else how} ({ctes[n]})" for n in needed
+    ) + "\n" + body
