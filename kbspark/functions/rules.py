@@ -11,11 +11,13 @@ from kbspark.functions import text as X
 
 
 def meaningful_text(c: Column) -> Column:
-    squeezed = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", "")
-    rest = squeezed
-    for _ in range(3):  # what is left once three different characters are taken out
-        rest = F.replace(rest, F.substring(rest, 1, 1), F.lit(""))
-    return (F.length(squeezed) >= 6) & squeezed.rlike("[a-zA-Z0-9]{3,}") & (F.length(rest) > 0)
+    def test(squeezed):
+        rest = squeezed
+        for _ in range(3):  # what is left once three different characters are taken out
+            rest = F.replace(rest, F.substring(rest, 1, 1), F.lit(""))
+        return (F.length(squeezed) >= 6) & squeezed.rlike("[a-zA-Z0-9]{3,}") & (F.length(rest) > 0)
+
+    return X.bind(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", ""), test)
 
 
 def file_rejection(

@@ -6,7 +6,7 @@ and ``$`` stop at a line feed only, ``(?U)`` makes ``\\s \\d \\b`` Unicode aware
 
 from __future__ import annotations
 
-import html
+import html.entities
 
 from pyspark.sql import Column, functions as F
 
@@ -60,6 +60,11 @@ PII_RELAXED = ((r"(?U)\b\d{10,}\b", "[ID]"),)
 STRICT_CHARS = 500
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim every Unicode whitespace character, not only spaces."""
     return F.btrim(c, F.lit(K.WHITESPACE))
@@ -358,7 +363,9 @@ NODE_BREAK = "\x01"
 
 
 def _named_entities() -> Column:
-    names = {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")}
+    """Names as the HTML standard spells them: with their semicolon, and the
+    old ones without it too."""
+    names = html.entities.html5
     return F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(F.lit, names.values())))
 
 
@@ -366,19 +373,18 @@ def unescape_html(c: Column, named: Column | None = None) -> Column:
     """Resolve character references. The text is cut before each ``&``, so the
     work per row is linear and stays in the JVM."""
     named = _named_entities() if named is None else named
-    pattern = r"^&(#[xX][0-9a-fA-F]+|#[0-9]+|[a-zA-Z][a-zA-Z0-9]*);"
 
     def piece(p):
-        ref = F.regexp_extract(p, pattern, 1)
-        rest = F.substring(p, F.length(ref) + 3, F.length(p))
-        code = F.when(
-            ref.rlike("^#[xX]"), F.conv(F.substring(ref, F.lit(3), F.length(ref)), 16, 10)
-        ).otherwise(F.substring(ref, F.lit(2), F.length(ref))).cast("long")
+        ref = F.regexp_extract(p, r"^&(#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[a-zA-Z][a-zA-Z0-9]*;?)", 1)
+        rest = F.substring(p, F.length(ref) + 2, F.length(p))
+        digits = F.regexp_extract(ref, "^#[xX]?([0-9a-fA-F]+)", 1)
+        code = F.when(ref.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         value = F.when(ref.startswith("#"), char).otherwise(F.try_element_at(named, ref))
         return F.when(F.length(ref) > 0, F.coalesce(F.concat(value, rest), p)).otherwise(p)
 
-    return F.array_join(F.transform(F.split(c, "(?=&)"), piece), "")
+    resolved = F.array_join(F.transform(F.split(c, "(?=&)"), piece), "")
+    return F.when(c.contains("&"), resolved).otherwise(c)
 
 
 def html_text(page: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from kbspark import constants as K
+from kbspark.functions.text import bind
 
 # IPv4 networks that are not globally routable (first, last address).
 PRIVATE_V4 = (
@@ -26,7 +27,7 @@ PRIVATE_V4 = (
 # documentation ranges among them. Everything else is loopback, local or reserved.
 ROUTABLE_V6 = r"^([23][0-9a-f]{3}:|ff[0-9a-f]{2}:|fe[c-f][0-9a-f]:)"
 LOCAL_V6 = r"^2001:(db8:|:|0*1?[0-9a-f]{1,2}:)"
-V4_PATTERN = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
+V4_PATTERN = r"^(0|[1-9]\d{0,2})(\.(0|[1-9]\d{0,2})){3}$"
 
 
 def url_scheme(url: Column) -> Column:
@@ -43,10 +44,12 @@ def url_host(url: Column) -> Column:
 
 def ipv4_number(host: Column) -> Column:
     """Address as a number; null when the text is not a dotted quad."""
-    parts = [F.regexp_extract(host, V4_PATTERN, i).try_cast("bigint") for i in range(1, 5)]
-    number = sum((p * (256 ** (3 - i)) for i, p in enumerate(parts)), F.lit(0).cast("bigint"))
-    in_range = (F.greatest(*parts) <= 255) & ~host.rlike(r"(^|\.)0\d")
-    return F.when(in_range, number)
+    def number(parts):
+        value = F.aggregate(parts, F.lit(0).cast("bigint"), lambda acc, p: acc * 256 + p)
+        return F.when(F.array_max(parts) <= 255, value)
+
+    quads = F.transform(F.split(host, r"\."), lambda p: p.try_cast("bigint"))
+    return F.when(host.rlike(V4_PATTERN), bind(quads, number))
 
 
 def _number(quad: str) -> int:
@@ -56,32 +59,35 @@ def _number(quad: str) -> int:
 
 def is_non_public_ip(ip: Column) -> Column:
     """True for a literal private, loopback, reserved or link-local address."""
-    n = ipv4_number(ip)
-    ranges = F.lit(False)
-    for first, last in PRIVATE_V4:
-        ranges = ranges | n.between(_number(first), _number(last))
+    def listed(n):
+        ranges = F.lit(False)
+        for first, last in PRIVATE_V4:
+            ranges = ranges | n.between(_number(first), _number(last))
+        return ranges
+
     v6 = F.lower(ip)
     local_v6 = ip.contains(":") & (~v6.rlike(ROUTABLE_V6) | v6.rlike(LOCAL_V6))
-    return F.coalesce(ranges, F.lit(False)) | local_v6
+    return F.coalesce(bind(ipv4_number(ip), listed), F.lit(False)) | local_v6
 
 
 def is_safe_url(url: Column, allowed_domains=None) -> Column:
-    host = url_host(url)
-    ok = url_scheme(url).isin("http", "https") & (host != "") & ~is_non_public_ip(host)
-    if allowed_domains:
-        suffix = F.lit(False)
-        for d in allowed_domains:
-            suffix = suffix | host.endswith(d)
-        ok = ok & suffix
-    return F.coalesce(ok, F.lit(False))
+    def host_ok(host):
+        ok = (host != "") & ~is_non_public_ip(host)
+        if allowed_domains:
+            suffix = F.lit(False)
+            for d in allowed_domains:
+                suffix = suffix | host.endswith(d)
+            ok = ok & suffix
+        return ok
+
+    return F.coalesce(url_scheme(url).isin("http", "https") & bind(url_host(url), host_ok), F.lit(False))
 
 
 def is_public_host(url: Column, resolved_ips: Column) -> Column:
     """Host is not on the block list and every address it resolves to is public.
     A host that did not resolve (null) is refused."""
-    host = url_host(url)
-    blocked = (host == "") | host.isin(*K.BLOCKED_HOSTS)
-    return F.coalesce(~blocked & ~F.exists(resolved_ips, is_non_public_ip), F.lit(False))
+    open_host = bind(url_host(url), lambda host: (host != "") & ~host.isin(*K.BLOCKED_HOSTS))
+    return F.coalesce(open_host & ~F.exists(resolved_ips, is_non_public_ip), F.lit(False))
 
 
 def is_admitted_page(content_length: Column, redirects: Column, content_type: Column) -> Column:

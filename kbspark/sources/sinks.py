@@ -26,3 +26,52 @@ def write_csv_guarded(df: DataFrame, path: str, mode: str = "errorifexists") ->
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     return spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
+
+
+# -- logs -----------------------------------------------------------------
+
+LOG_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"   # ISO, to the microsecond
+
+
+def write_logs(df: DataFrame, path: str, batch_id: int | None = None) -> None:
+    """Append rows as JSON lines. With a batch id, writing the batch again
+    replaces it, so a replayed micro-batch does not repeat its lines."""
+    lines = df.select(F.to_json(F.struct(*df.columns), {"timestampFormat": LOG_TIME}).alias("value"))
+    if batch_id is None:
+        lines.write.mode("append").text(path)
+    else:
+        lines.write.mode("overwrite").text(f"{path}/batch={batch_id}")
+
+
+# -- vectors --------------------------------------------------------------
+
+VECTOR_COLUMNS = ("chunk_id", "file_name", "chunk_index", "text", "embedding", "source")
+
+
+def write_vectors(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Chunks with their vectors, one folder per source for partition pruning."""
+    df.write.mode(mode).partitionBy("source").parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str, dim: int | None = None) -> DataFrame:
+    """The vector table without rows whose text or vector is missing or of
+    another size."""
+    rows = spark.read.parquet(path).filter(F.col("text").isNotNull() & F.col("embedding").isNotNull())
+    return rows if dim is None else rows.filter(F.size("embedding") == dim)
+
+
+# -- usage counters -------------------------------------------------------
+
+COUNTERS = ("total_requests", "llm_calls", "estimated_ai_cost")
+
+
+def add_usage(delta: DataFrame, path: str, batch_id: int) -> None:
+    """Add counter increments (tenant_id, month, counters). Increments of a
+    batch are one folder, written again as a whole if the batch is replayed;
+    no stored row is read or changed."""
+    delta.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def read_usage(spark: SparkSession, path: str, keys=("tenant_id", "month")) -> DataFrame:
+    """Current counters: the sums of all increments."""
+    return spark.read.parquet(path).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTERS])
