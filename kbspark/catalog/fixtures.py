@@ -7,11 +7,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kbspark import constants as K
 from kbspark.catalog import sqlkit as Q
-from kbspark.session import ensure_utc
+from kbspark.session import balanced, ensure_utc
+
+
+HEAVY = {"documents": ("doc_id",), "pages": ("page_id",), "conversations": ("conv_id", "turn")}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ensure_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; those with long texts are spread when they are one small file."""
+    rows = ensure_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return balanced(rows, *HEAVY[name]) if name in HEAVY else rows
 
 
 def pick(index: Column, *values) -> Column:

@@ -66,3 +66,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     ``spark.sql.shuffle.partitions`` parts, which adaptive execution, judging
     by bytes, would merge."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def balanced(df: DataFrame, *keys: str) -> DataFrame:
+    """A scan of a few files spread over the cores; a scan that already has a
+    split per core is left alone, so large tables are not shuffled for it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
