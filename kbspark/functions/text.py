@@ -7,6 +7,7 @@ and ``$`` stop at a line feed only, ``(?U)`` makes ``\\s \\d \\b`` Unicode aware
 from __future__ import annotations
 
 import html.entities
+import json
 
 from pyspark.sql import Column, functions as F
 
@@ -365,8 +366,7 @@ NODE_BREAK = "\x01"
 def _named_entities() -> Column:
     """Names as the HTML standard spells them: with their semicolon, and the
     old ones without it too."""
-    names = html.entities.html5
-    return F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(F.lit, names.values())))
+    return F.from_json(F.lit(json.dumps(html.entities.html5)), "map<string,string>")  # one folded literal
 
 
 def unescape_html(c: Column, named: Column | None = None) -> Column:

@@ -31,10 +31,11 @@ def chunk_order():
 def dedupe_chunks(chunks: DataFrame, threshold: float = K.SEMANTIC_THRESHOLD, scope: str | None = None) -> DataFrame:
     """Exact repeats, contained texts, then near-duplicates removed."""
     ranked = chunks.withColumn("priority", chunking.source_priority(F.col("source")))
-    unique = dedupe.drop_repeats(ranked, chunk_order(), scope=(scope,) if scope else ())
+    # Sorting looks at its input twice, so the texts are prepared once and kept.
+    unique = cut_lineage(dedupe.drop_repeats(ranked, chunk_order(), scope=(scope,) if scope else ()), "unique")
     numbered = dedupe.in_order(unique, chunk_order(), "id")
     whole = dedupe.drop_contained(numbered, scope=scope)
-    kept = dedupe.drop_near_duplicates(whole, [F.col("id")], F.col("priority"), threshold=threshold, scope=scope)
+    kept = dedupe.drop_near_duplicates(whole, "id", F.col("priority"), threshold=threshold, scope=scope)
     return kept.drop("id", "priority")
 
 
