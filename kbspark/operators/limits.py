@@ -78,13 +78,15 @@ def _with_context(rows: DataFrame, stretches: DataFrame, keys, window_us: int) -
     return near.withColumn("stretch", F.col("coming.stretch")).drop("coming", "home")
 
 
-def _segmented(context: DataFrame, keys, segment_rows: int) -> DataFrame:
-    """Cut stretches into segments of about ``segment_rows`` rows, by time bucket."""
+def _segmented(context: DataFrame, keys, window_us: int, segment_rows: int) -> DataFrame:
+    """Cut stretches into segments of about ``segment_rows`` rows. Rows are
+    counted per window, so a segment exceeds that by one window's rows at most."""
     group = [*keys, "stretch"]
-    sizes = context.groupBy(*group, "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy(*group).orderBy("bucket")) - F.col("n")
-    cuts = sizes.select(*group, "bucket", F.floor(before / F.lit(segment_rows)).cast("int").alias("segment"))
-    return context.join(cuts, [*group, "bucket"]).drop("bucket")
+    context = context.drop("bucket").withColumn("slot", F.floor(F.col("us") / window_us))
+    sizes = context.groupBy(*group, "slot").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*group).orderBy("slot")) - F.col("n")
+    cuts = sizes.select(*group, "slot", F.floor(before / F.lit(segment_rows)).cast("int").alias("segment"))
+    return context.join(cuts, [*group, "slot"]).drop("slot")
 
 
 def _replay(keys, window_us: int, schema: str):
@@ -122,7 +124,7 @@ def sliding_log(
     rows = cut_lineage(rows.withColumn("dense", F.col("raw") > F.col("lim")).drop("raw"), "dense")
     calm = rows.filter("not dense").withColumn("accepted", F.lit(True))
     context = _with_context(rows, _dense_stretches(rows, keys, window_us), keys, window_us)
-    parts = cut_lineage(_segmented(context, keys, segment_rows).withColumn("known", ~F.col("dense")), "segments")
+    parts = cut_lineage(_segmented(context, keys, window_us, segment_rows).withColumn("known", ~F.col("dense")), "segments")
 
     rounds = parts.agg(F.max("segment")).first()[0]
     columns = [*keys, "stretch", "us", "event_id", "lim", "dense", "known"]

@@ -13,15 +13,19 @@ from kbspark.session import cut_lineage
 CHUNK_COLUMNS = ("source", "file_name", "chunk_index", "text")
 
 
-def load_chunks(uploads: DataFrame, base: DataFrame, pages: DataFrame, allowed_domains=None) -> DataFrame:
-    """Chunks of uploads, of the base files they do not replace, of the pages
-    these link to and of all listed pages. Files are (source, file_name,
-    content), pages (url, html)."""
-    files = chunking.override_files(uploads, base)
-    from_pages = chunking.page_chunks(pages, allowed_domains)
-    expanded = chunking.expand_links(chunking.chunk(files), from_pages)
-    listed = from_pages.select(*CHUNK_COLUMNS)
-    return expanded.select(*CHUNK_COLUMNS).unionByName(listed)
+def load_chunks(
+    uploads: DataFrame, base: DataFrame, pages: DataFrame, listed: DataFrame | None = None, allowed_domains=None
+) -> DataFrame:
+    """Chunks of uploads, of the base files they do not replace, and of the
+    pages that are ``listed`` (url; all when omitted) or linked from a file.
+
+    Files are (source, file_name, content), pages (url, html). A page enters
+    once, however many files link to it: later copies would be exact repeats."""
+    own = chunking.chunk(chunking.override_files(uploads, base)).select(*CHUNK_COLUMNS)
+    if listed is not None:
+        links = own.select(F.explode(X.url_list(F.col("text"))).alias("url"))
+        pages = pages.join(links.union(listed.select("url")).distinct(), "url", "left_semi")
+    return own.unionByName(chunking.page_chunks(pages, allowed_domains).select(*CHUNK_COLUMNS))
 
 
 def chunk_order():
@@ -39,9 +43,11 @@ def dedupe_chunks(chunks: DataFrame, threshold: float = K.SEMANTIC_THRESHOLD, sc
     return kept.drop("id", "priority")
 
 
-def build(uploads: DataFrame, base: DataFrame, pages: DataFrame, allowed_domains=None) -> DataFrame:
+def build(
+    uploads: DataFrame, base: DataFrame, pages: DataFrame, listed: DataFrame | None = None, allowed_domains=None
+) -> DataFrame:
     """Chunks of a knowledge base built from scratch."""
-    return dedupe_chunks(load_chunks(uploads, base, pages, allowed_domains))
+    return dedupe_chunks(load_chunks(uploads, base, pages, listed, allowed_domains))
 
 
 def admit(manifest: DataFrame, existing: DataFrame) -> DataFrame:

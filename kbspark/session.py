@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -73,3 +74,8 @@ def balanced(df: DataFrame, *keys: str) -> DataFrame:
     split per core is left alone, so large tables are not shuffled for it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def is_missing(error: AnalysisException) -> bool:
+    """The path does not exist, or holds no data file yet."""
+    return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")

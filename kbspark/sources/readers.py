@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kbspark.functions import text as X
+from kbspark.session import is_missing
 
 # Fields of the JSON-lines logs.
 LOG_SCHEMAS = {
@@ -48,8 +50,14 @@ def scan_kb_text(spark: SparkSession, path: str, source: str, errors: str = "rep
 
 
 def scan_url_list(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Distinct addresses of ``{"urls": [...]}`` files; a broken file has none."""
-    lists = spark.read.schema("urls array<string>").option("multiLine", multi_line).json(path)
+    """Distinct addresses of ``{"urls": [...]}`` files; a missing or broken file has none."""
+    schema = "urls array<string>"
+    try:
+        lists = spark.read.schema(schema).option("multiLine", multi_line).json(path)
+    except AnalysisException as error:
+        if not is_missing(error):
+            raise
+        lists = spark.createDataFrame([], schema)
     return lists.select(F.explode("urls").alias("url")).distinct()
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructType
 
 from kbspark.functions import text as X
+from kbspark.session import is_missing
 
 
 def guard_strings(df: DataFrame) -> DataFrame:
@@ -45,7 +47,8 @@ def write_logs(df: DataFrame, path: str, batch_id: int | None = None) -> None:
 
 # -- vectors --------------------------------------------------------------
 
-VECTOR_COLUMNS = ("chunk_id", "file_name", "chunk_index", "text", "embedding", "source")
+VECTOR_SCHEMA = ("chunk_id bigint, file_name string, chunk_index int, text string, embedding array<float>, "
+                 "source string")
 
 
 def write_vectors(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -55,8 +58,14 @@ def write_vectors(df: DataFrame, path: str, mode: str = "errorifexists") -> None
 
 def read_vectors(spark: SparkSession, path: str, dim: int | None = None) -> DataFrame:
     """The vector table without rows whose text or vector is missing or of
-    another size."""
-    rows = spark.read.parquet(path).filter(F.col("text").isNotNull() & F.col("embedding").isNotNull())
+    another size; empty where there is no table yet."""
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException as error:
+        if not is_missing(error):
+            raise
+        return spark.createDataFrame([], VECTOR_SCHEMA)
+    rows = rows.filter(F.col("text").isNotNull() & F.col("embedding").isNotNull())
     return rows if dim is None else rows.filter(F.size("embedding") == dim)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,7 +12,7 @@ from kbspark import constants as K
 from kbspark.functions import text as X
 from kbspark.operators import chunking, models, usage
 from kbspark.plans import kb
-from kbspark.session import DEFAULTS
+from kbspark.session import DEFAULTS, is_missing
 from kbspark.sources import sinks
 from kbspark.streaming.processors import MonthlyQuota, SlidingLog
 
@@ -103,8 +104,8 @@ def index_sink(path: str, dim: int = models.DIM, max_vectors: int | None = K.MAX
     def indexed(spark: SparkSession) -> DataFrame | None:
         try:
             return spark.read.parquet(path)
-        except Exception as missing:
-            if "PATH_NOT_FOUND" in str(missing) or "UNABLE_TO_INFER_SCHEMA" in str(missing):
+        except AnalysisException as error:
+            if is_missing(error):
                 return None
             raise
 

@@ -41,6 +41,8 @@ def test_vectors_drop_bad_rows(spark, tmp_path):
     sinks.write_vectors(rows, path)
     assert sorted(os.listdir(path))[-2:] == ["source=KB", "source=URL"]
     assert [r["chunk_id"] for r in sinks.read_vectors(spark, path, 2).collect()] == [1]
+    assert sinks.read_vectors(spark, str(tmp_path / "none")).count() == 0
+    assert readers.scan_url_list(spark, str(tmp_path / "none.json")).count() == 0
 
 
 def test_guarded_csv(spark, tmp_path):
