@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kbspark import constants as K
 from kbspark.catalog import fixtures as X
 from kbspark.catalog import sqlkit as Q
 from kbspark.catalog.fixtures import sql, table
