@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import chat, mixing, toxicity, url_rules
+from kbspark.llm import chat, elias_fano, mixing, separator_scan, toxicity, url_rules
 from kbspark.llm.common import table
 
+#: Vocabulary files, as a parameter of the operators.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(table(spark, sf_dir, "conversations"))
@@ -19,6 +23,16 @@ def op2_mixing_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("takes")["position"].alias("positions"))
 
 
+def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as ids in flat files, and what a scan of these files finds."""
+    files = separator_scan.write_flat(table(spark, sf_dir, "documents"), BYTE_BPE)
+    return separator_scan.scan(files)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elias_fano.read(elias_fano.write(table(spark, sf_dir, "documents"), BYTE_BPE))
+
+
 def op5_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
 
@@ -32,6 +46,6 @@ def op8_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_chat_perspectives, op2_mixing_curriculum, op5_url_association_rules, op8_toxicity_lexicon)}
+    op1_chat_perspectives, op2_mixing_curriculum, op3_separator_scan, op4_token_files, op5_url_association_rules, op8_toxicity_lexicon)}
 
 ORACLES = {"op1_chat_perspectives": chat.SQL}
