@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import chat, elias_fano, mixing, separator_scan, toxicity, url_rules
+from kbspark.llm import chat, elias_fano, mixing, separator_scan, toxicity, url_rules, viterbi
 from kbspark.llm.common import table
 
 #: Vocabulary files, as a parameter of the operators.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +38,12 @@ def op5_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and whether they decode to that very text."""
+    rows = viterbi.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
+
+
 def op8_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -46,6 +53,7 @@ def op8_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_chat_perspectives, op2_mixing_curriculum, op3_separator_scan, op4_token_files, op5_url_association_rules, op8_toxicity_lexicon)}
+    op1_chat_perspectives, op2_mixing_curriculum, op3_separator_scan, op4_token_files, op5_url_association_rules, op7_sentencepiece_viterbi,
+    op8_toxicity_lexicon)}
 
 ORACLES = {"op1_chat_perspectives": chat.SQL}

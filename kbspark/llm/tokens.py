@@ -22,7 +22,7 @@ _RUN = re.compile(r"\s |^ ")
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ſ]*")
 
 
-class _Memo(dict):
+class Memo(dict):
     """Piece to the ids as bytes; unknown pieces are encoded when asked for.
 
     When this generation is full it becomes the older one, whose pieces are
@@ -67,8 +67,8 @@ class ByteBPE:
         for byte, char in _byte_letters().items():
             table[byte] = char
         self.letters = dict(enumerate(table))
-        self.word = _Memo(self._merge)
-        self.after_space = _Memo(lambda piece: self._divide(" " + piece))
+        self.word = Memo(self._merge)
+        self.after_space = Memo(lambda piece: self._divide(" " + piece))
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
