@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import chat, elias_fano, mixing, separator_scan, spotsigs, toxicity, url_rules, viterbi
+from kbspark.llm import chat, elias_fano, mixing, multi_index, separator_scan, spotsigs, toxicity, url_rules, viterbi
 from kbspark.llm.common import table
 
 #: Vocabulary files, as a parameter of the operators.
@@ -38,6 +38,10 @@ def op5_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and whether they decode to that very text."""
     rows = viterbi.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
@@ -57,8 +61,8 @@ def op10_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_chat_perspectives, op2_mixing_curriculum, op3_separator_scan, op4_token_files, op5_url_association_rules, op7_sentencepiece_viterbi,
-    op8_toxicity_lexicon,
+    op1_chat_perspectives, op2_mixing_curriculum, op3_separator_scan, op4_token_files, op5_url_association_rules, op6_inverted_multi_index,
+    op7_sentencepiece_viterbi, op8_toxicity_lexicon,
     op10_spotsigs_fingerprints)}
 
 ORACLES = {"op1_chat_perspectives": chat.SQL}
