@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import chat, elias_fano, mixing, multi_index, separator_scan, spotsigs, toxicity, url_rules, viterbi
+from kbspark.llm import chat, elias_fano, mixing, multi_index, partition_join, separator_scan, spotsigs, toxicity, url_rules, viterbi
 from kbspark.llm.common import table
 
 #: Vocabulary files, as a parameter of the operators.
@@ -56,13 +56,17 @@ def op8_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op9_partition_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partition_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_chat_perspectives, op2_mixing_curriculum, op3_separator_scan, op4_token_files, op5_url_association_rules, op6_inverted_multi_index,
-    op7_sentencepiece_viterbi, op8_toxicity_lexicon,
+    op7_sentencepiece_viterbi, op8_toxicity_lexicon, op9_partition_jaccard_join,
     op10_spotsigs_fingerprints)}
 
 ORACLES = {"op1_chat_perspectives": chat.SQL}
