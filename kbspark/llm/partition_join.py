@@ -22,8 +22,10 @@ BAND = 1.6
 SLACK = 1.3
 #: Pairs of one leader that are verified in one task.
 TOGETHER = 1024
-#: Rounds in which each index entry's sets meet one leader, before all open pairs do.
-ROUNDS = 2
+#: Sets of one leader that are compared with as many others by their sketches in one task.
+BLOCK = 2048
+#: Bits of an index entry that name its band.
+BAND_BITS = 7
 
 _U = np.uint64
 
@@ -96,7 +98,8 @@ class Plan:
         return Plan, (self.percent, self.counts)
 
     def entries(self, members: np.ndarray) -> np.ndarray:
-        """Index entries of a set: hashes of (band, segment, content)."""
+        """Index entries of a set: hashes of (band, segment, content), whose last
+        BAND_BITS bits are the band."""
         size = len(members)
         if size < self.bands.first:
             return np.zeros(0, _U)
@@ -127,7 +130,23 @@ class Plan:
         if left_out < e:
             order = np.argsort(count[d:], kind="stable")[left_out:] + d
             out.append(total[order] + tag[order])
-        return mixed(np.concatenate(out))
+        return mixed(np.concatenate(out)) >> _U(BAND_BITS) << _U(BAND_BITS) | _U(band)
+
+    def sketches(self, members: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(band, a byte for each segment of a finer division) for the set's bands.
+
+        Sets of a band that differ in k members differ in k bytes at most."""
+        size = np.array([len(members)])
+        if size[0] < self.bands.first:
+            return
+        own = int(self.bands.of(size)[0])
+        for band in (own, own - 1)[:1 + int(self.bands.also_below(size)[0])]:
+            high = int(self.bands.edges[band + 1]) - 1
+            n = 2 * (int(self.bands.differ(np.array([high]))[0]) + 1)
+            scrambled = mixed(members ^ _U(0x2545F4914F6CDD1D))
+            total = np.zeros(n, _U)
+            np.add.at(total, ((scrambled >> _U(32)) * _U(n) >> _U(32)).astype(np.int64), mixed(scrambled))
+            yield band, (total >> _U(56)).astype(np.uint8).tobytes()
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -177,13 +196,73 @@ def _entries(plan: Plan, width: int, remember: int = 1_000_000):
     return run
 
 
-def _verify(percent: int, width: int):
+def _sketches(plan: Plan, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(key, band, len(members), sketch)
+                    for key, members in zip(_column(batch, "key").to_pylist(), shingle_sets(_column(batch, "text"), width))
+                    for band, sketch in plan.sketches(members)]
+            columns = zip(*rows) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+                names=["key", "band", "n", "sketch"])
+
+    return run
+
+
+def _close(percent: int):
+    """Of the sets of one block and another, or of one block alone, the pairs of
+    different components that sizes and sketches allow to be linked."""
+    def run(table: pa.Table) -> pa.Table:
+        key, n, component, side = (table.column(c).to_numpy() for c in ("key", "n", "component", "side"))
+        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(key), -1)
+        one = bool(table.column("i")[0].as_py() == table.column("j")[0].as_py())
+        left = np.arange(len(key)) if one else np.flatnonzero(side == 0)
+        right = left if one else np.flatnonzero(side == 1)
+        right = right[np.argsort(n[right], kind="stable")]
+        sizes, found = n[right], []
+        for a in left:
+            low, high = np.searchsorted(sizes, [-(-n[a] * percent // 100), n[a] * 100 // percent + 1])
+            b = right[low:high]
+            b = b[component[b] != component[a]]
+            if one:
+                b = b[key[b] > key[a]]
+            if len(b):
+                most = (n[b] + n[a]) * (100 - percent) // (100 + percent)
+                b = b[(bits[b] != bits[a]).sum(1) <= most]
+                found.extend((min(key[a], k), max(key[a], k)) for k in key[b])
+        return pa.table({"leader": pa.array([x for x, _ in found], pa.int64()),
+                         "key": pa.array([y for _, y in found], pa.int64())})
+
+    return run
+
+
+def _open_pairs(pairs: DataFrame, sketches: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of sets that share an entry, hence its leader, lie in
+    different components and may be linked. Large groups of a leader are cut
+    into blocks, and each pair of blocks is a task's work; tasks return what passes."""
+    members = (pairs.join(sketches, ["key", "band"]).join(joined.withColumnRenamed("id", "key"), "key", "left")
+               .withColumn("component", F.coalesce("component", "key")))
+    members = saved(members, "leader-members")
+    mixed_groups = members.groupBy("leader", "band").agg(
+        F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("rows")).where("a < b")
+    cut = members.join(mixed_groups.select("leader", "band", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")),
+                       ["leader", "band"])
+    cut = cut.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.select("leader", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+                     F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"),
+                     "key", "n", "component", "sketch")
+    return cut.groupBy("leader", "band", "i", "j").applyInArrow(_close(percent), "leader long, key long").distinct()
+
+
+def _verify(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, against = None, None
         for batch in batches:
             rows = zip(_column(batch, "leader").to_pylist(), _column(batch, "key").to_pylist(),
                        _column(batch, "leads").to_pylist(), shingle_sets(_column(batch, "text"), width))
-            found: list[tuple[int, int]] = []
+            found: list[tuple[int, int, int, int, int]] = []
             for of, key, leads, members in rows:
                 if leads:
                     leader, against = of, members
@@ -191,17 +270,16 @@ def _verify(percent: int, width: int):
                     place = np.searchsorted(against, members)
                     place[place == len(against)] = 0
                     shared = int((against[place] == members).sum())
-                    if 100 * shared >= percent * (len(against) + len(members) - shared):
-                        found.append((of, key))
+                    found.append((of, key, len(against), len(members), shared))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())],
-                names=["leader", "key"])
+                [pa.array(c, pa.int64()) for c in (zip(*found) if found else [[]] * 5)],
+                names=["leader", "key", "size", "n", "shared"])
 
     return run
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """The (leader, key) of the pairs whose sets reach the threshold.
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """The pairs, and whether their sets are linked.
 
     A leader's pairs are cut into parts; each part gets the leader's text once,
     and rows stream past it in sorted order, so a task holds one set."""
@@ -213,8 +291,10 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> Dat
     rows = asked.join(texts, "key")
     n = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = rows.repartition(n, "leader", "part").sortWithinPartitions("leader", "part", F.desc("leads"))
-    return saved(rows.select("leader", "key", "leads", "text").mapInArrow(_verify(percent, width), "leader long, key long"),
-                 "verified")
+    counted = rows.select("leader", "key", "leads", "text").mapInArrow(
+        _verify(width), "leader long, key long, size long, n long, shared long")
+    union = F.col("size") + F.col("n") - F.col("shared")
+    return saved(counted.select("leader", "key", (100 * F.col("shared") >= percent * union).alias("linked")), "verified")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT,
@@ -224,8 +304,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Equal sets form a class that is indexed once. Each class enters the hashed
     content of segments of its universe, which linked classes are bound to
     share (see ``Plan``). Classes that share an entry meet a leader of that entry and are
-    verified exactly; those that a chain of links has joined need not meet any more.
-    After ROUNDS leaders, every pair that shares an entry and is still apart is verified.
+    verified exactly. Other classes that share an entry have its leader in common;
+    those that no chain of links has joined yet are compared within that leader's group by
+    sketches, which bound their difference from below, and verified where these allow a link.
 
     Missing, empty and wordless texts have no shingles and link with nothing.
     Rows without a key are components of their own with a null component_id.
@@ -244,37 +325,20 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     entries = rows.where("id is not null").select("text").mapInArrow(_entries(plan, width), "entry long, key long")
     by_entry = Window.partitionBy("entry")
-    index = (entries.withColumn("leader", F.min("key").over(by_entry)).withColumn("most", F.max("key").over(by_entry))
-             .where("leader < most").select("entry", "key", "leader"))
-    index = saved(index, "shared-entries")
+    pairs = (entries.withColumn("leader", F.min("key").over(by_entry)).where("key <> leader")
+             .select("leader", "key", F.col("entry").bitwiseAND(2**BAND_BITS - 1).alias("band")).distinct())
+    pairs = saved(pairs, "leader-pairs")
 
-    wanted = index.select("key").distinct().join(classes, "key").select("key", F.col("rep").alias("id"))
+    wanted = pairs.select("key").union(pairs.select(F.col("leader").alias("key"))).distinct()
+    wanted = wanted.join(classes, "key").select("key", F.col("rep").alias("id"))
     texts = saved(rows.join(wanted, "id").groupBy("key").agg(F.min("text").alias("text")), "candidate-texts")
 
-    pairs = saved(index.where("key <> leader").select("leader", "key").distinct(), "leader-pairs")
-    done, links, joined = pairs, _linked(pairs, texts, percent, width), None
-    for turn in range(1, ROUNDS + 1):
-        joined = saved(components(links, "leader", "key"), "joined")
-        together = joined.withColumnRenamed("id", "key")
-        index = index.drop("leader", "component").join(together, "key", "left").withColumn(
-            "component", F.coalesce("component", "key"))
-        apart = index.groupBy("entry").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
-        index = saved(index.join(apart.select("entry"), "entry", "left_semi"), "open-entries")
-        if index.isEmpty():
-            break
-        if turn < ROUNDS:
-            lead = index.groupBy("entry").agg(
-                F.min(F.struct(F.xxhash64("component", F.lit(turn)).alias("x"), "component", "key")).alias("lead"))
-            met = index.join(lead, "entry").where("component <> lead.component").select(
-                F.greatest("key", "lead.key").alias("key"), F.least("key", "lead.key").alias("leader"))
-        else:
-            other = index.select("entry", F.col("key").alias("leader"), F.col("component").alias("other"))
-            met = index.join(other, "entry").where("leader < key and component <> other").select("leader", "key")
-        met = saved(met.distinct().join(done, ["leader", "key"], "left_anti"), "open-pairs")
-        links = saved(links.unionByName(_linked(met.select("leader", "key"), texts, percent, width)), "links")
-        done = saved(done.unionByName(met), "done-pairs")
-    else:
-        joined = saved(components(links, "leader", "key"), "joined")
+    done = _verified(pairs.select("leader", "key").distinct(), texts, percent, width)
+    joined = saved(components(done.where("linked"), "leader", "key"), "joined")
+    sketches = texts.mapInArrow(_sketches(plan, width), "key long, band long, n long, sketch binary")
+    met = saved(_open_pairs(pairs, sketches, joined, percent), "open-pairs")
+    late = _verified(met.join(done, ["leader", "key"], "left_anti"), texts, percent, width)
+    joined = saved(components(done.unionByName(late).where("linked"), "leader", "key"), "joined")
 
     named = classes.join(joined.withColumnRenamed("id", "key"), "key", "left").select(
         "key", "rep", F.coalesce("component", "key").alias("component"))
