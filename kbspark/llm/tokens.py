@@ -28,9 +28,9 @@ class Memo(dict):
     When this generation is full it becomes the older one, whose pieces are
     taken over as they recur, so memory is bounded and frequent pieces stay."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, remembered: int = REMEMBERED):
         super().__init__()
-        self.encode = encode
+        self.encode, self.remembered = encode, remembered
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
@@ -38,7 +38,7 @@ class Memo(dict):
         if ids is None:
             ids = self.encode(piece)
         if len(piece) <= 64:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.remembered:
                 self.older = dict(self)
                 self.clear()
             self[piece] = ids
