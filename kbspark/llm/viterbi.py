@@ -22,7 +22,7 @@ UNKNOWN = 10.0
 #: Lengths of the longest piece that may pass before paths are traced for a common boundary.
 PATIENCE = 8
 #: Distinct words in each of the two generations that a task remembers; of
-#: pieces between spaces a quarter as many, of openings an eighth.
+#: pieces between spaces a quarter as many, of openings half as many.
 REMEMBERED = 250_000
 #: Characters ahead whose pieces are remembered together.
 NEAR = 5
@@ -78,7 +78,7 @@ class Encoder:
 
     def __init__(self, model_file: str):
         self.pieces = Pieces(model_file)
-        self.openings = Memo(self._opening, REMEMBERED // 8)
+        self.openings = Memo(self._opening, REMEMBERED // 2)
         self.word = Memo(self._path, REMEMBERED)
         self.after_space = Memo(lambda piece: self._lines(SPACE + piece), REMEMBERED // 4)
 
