@@ -215,6 +215,7 @@ def _close(percent: int):
     different components that sizes and sketches allow to be linked."""
     def run(table: pa.Table) -> pa.Table:
         key, n, component, side = (table.column(c).to_numpy() for c in ("key", "n", "component", "side"))
+        leaders, leader = table.column("leaders").to_pylist(), table.column("leader")[0].as_py()
         bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(key), -1)
         one = bool(table.column("i")[0].as_py() == table.column("j")[0].as_py())
         left = np.arange(len(key)) if one else np.flatnonzero(side == 0)
@@ -230,7 +231,9 @@ def _close(percent: int):
             if len(b):
                 most = (n[b] + n[a]) * (100 - percent) // (100 + percent)
                 b = b[(bits[b] != bits[a]).sum(1) <= most]
-                found.extend((min(key[a], k), max(key[a], k)) for k in key[b])
+                own = set(leaders[a])  # a pair that has several leaders in common is left to the least of them
+                found.extend((min(key[a], key[k]), max(key[a], key[k])) for k in b
+                             if min(own.intersection(leaders[k])) == leader)
         return pa.table({"leader": pa.array([x for x, _ in found], pa.int64()),
                          "key": pa.array([y for _, y in found], pa.int64())})
 
@@ -243,7 +246,8 @@ def _open_pairs(pairs: DataFrame, sketches: DataFrame, joined: DataFrame, percen
     into blocks, and each pair of blocks is a task's work; tasks return what passes."""
     members = (pairs.join(sketches, ["key", "band"]).join(joined.withColumnRenamed("id", "key"), "key", "left")
                .withColumn("component", F.coalesce("component", "key")))
-    members = saved(members, "leader-members")
+    leaders = pairs.groupBy("key", "band").agg(F.collect_list("leader").alias("leaders"))  # fewer than a set's entries
+    members = saved(members.join(leaders, ["key", "band"]), "leader-members")
     mixed_groups = members.groupBy("leader", "band").agg(
         F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("rows")).where("a < b")
     cut = members.join(mixed_groups.select("leader", "band", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")),
@@ -252,7 +256,7 @@ def _open_pairs(pairs: DataFrame, sketches: DataFrame, joined: DataFrame, percen
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.select("leader", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
                      F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"),
-                     "key", "n", "component", "sketch")
+                     "key", "n", "component", "sketch", "leaders")
     return cut.groupBy("leader", "band", "i", "j").applyInArrow(_close(percent), "leader long, key long").distinct()
 
 
