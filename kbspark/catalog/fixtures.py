@@ -90,7 +90,9 @@ def url_docs(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     d = F.col("doc_id")
-    joined = docs.join(pages, pages.page_id == d % 250, "left")
+    n_pages = pages.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
+    numbered = docs.withColumn("page", d % n_pages)
+    joined = numbered.join(pages, F.col("page_id") == F.col("page"), "left")
     link = F.concat(F.lit(" see "), F.col("url"), F.lit(" or "), F.col("url"))
     linked = F.concat("text", F.when(d % 3 == 0, F.coalesce(link, F.lit(""))).otherwise(""))
     return joined.select(
@@ -103,7 +105,7 @@ def url_docs(spark, sf_dir) -> DataFrame:
 
 URL_DOCS = """SELECT doc_id, 'doc' || doc_id || '.txt' AS file_name, 'KB' AS source,
     text || CASE WHEN doc_id % 3 = 0 THEN coalesce(' see ' || url || ' or ' || url, '') ELSE '' END AS content
-    FROM documents LEFT JOIN pages ON page_id = doc_id % 250"""
+    FROM (SELECT *, doc_id % (SELECT greatest(count(*), 1) FROM pages) AS page FROM documents) LEFT JOIN pages ON page_id = page"""
 
 HOSTS = (
     "10.0.0.1", "127.0.0.1", "169.254.169.254", "240.0.0.1", "[::1]", "localhost", "LOCALHOST",
@@ -144,12 +146,7 @@ URL_PROBE = f"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url ELSE
 def messages(spark, sf_dir) -> DataFrame:
     """Every turn as one message: user turns carry thread noise, by kind."""
     t, c, n = F.col("text"), F.col("conv_id"), F.col("turn")
-    noisy = pick_text((c + n) % 4, [
-        t,
-        F.concat(F.lit("On Mon X wrote:\n> "), F.substring_index(t, " ", 3), F.lit("\n"), t),
-        F.concat(t, F.lit("\n--\nSig\nFrom: me")),
-        F.concat(t, F.lit("\nThanks,\nBob")),
-    ])
+    noisy = with_noise(t, (c + n) % 4)
     return table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", "role",
         F.when(F.col("role") == "user", noisy).otherwise(t).alias("body"),
@@ -158,6 +155,24 @@ def messages(spark, sf_dir) -> DataFrame:
     )
 
 
+def with_noise(t: Column, kind: Column) -> Column:
+    """A message as a mail program leaves it: plain, quoting, signed or with a greeting."""
+    return pick_text(kind, [
+        t,
+        F.concat(F.lit("On Mon X wrote:\n> "), F.substring_index(t, " ", 3), F.lit("\n"), t),
+        F.concat(t, F.lit("\n--\nSig\nFrom: me")),
+        F.concat(t, F.lit("\nThanks,\nBob")),
+    ])
+
+
+def emails(spark, sf_dir) -> DataFrame:
+    """One mail per conversation: all its user turns in order."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    threads = table(spark, sf_dir, "conversations").filter("role = 'user'").groupBy("conv_id").agg(
+        F.array_join(F.transform(turns, lambda r: r["text"]), "\n").alias("text"))
+    return threads.select(F.col("conv_id").alias("ticket_id"), with_noise(F.col("text"), F.col("conv_id") % 4).alias("body"))
+
+
 def pick_text(index: Column, options: list[Column]) -> Column:
     chain = F.when(index == 0, options[0])
     for i, o in enumerate(options[1:], start=1):
@@ -165,10 +180,12 @@ def pick_text(index: Column, options: list[Column]) -> Column:
     return chain
 
 
+NOISY = ("text", "'On Mon X wrote:\n> ' || array_to_string(string_split(text, ' ')[1:3], ' ') || '\n' || text",
+         "text || '\n--\nSig\nFrom: me'", "text || '\nThanks,\nBob'")
+EMAILS = f"""SELECT conv_id AS ticket_id, {sql_pick('conv_id % 4', *NOISY)} AS body FROM
+    (SELECT conv_id, coalesce(string_agg(text, chr(10) ORDER BY turn, text), '') AS text FROM conversations WHERE role = 'user' GROUP BY conv_id)"""
 MESSAGES = f"""SELECT conv_id, turn, role, CASE WHEN role <> 'user' THEN text ELSE
-    {sql_pick('(conv_id + turn) % 4', "text",
-              "'On Mon X wrote:\n> ' || array_to_string(string_split(text, ' ')[1:3], ' ') || '\n' || text",
-              "text || '\n--\nSig\nFrom: me'", "text || '\nThanks,\nBob'")} END AS body,
+    {sql_pick('(conv_id + turn) % 4', *NOISY)} END AS body,
     'note ' || turn || {sql_pick('(conv_id * 3 + turn) % 9', *["'.txt'"] * 7, "'.PDF'", "'.doc'")} AS file_name,
     length(text) * {sql_pick('(conv_id + turn) % 6', '1', '1', '1', '1', '1', '9000')} AS size_bytes
     FROM conversations"""
@@ -178,7 +195,7 @@ def model_outputs(spark, sf_dir) -> DataFrame:
     t = F.col("text")
     first = F.substring_index(t, "\n", 1)
     obj = F.to_json(F.struct(
-        first.alias("summary"), F.slice(F.split(t, "[.] "), 1, 9).alias("key_details")
+        first.alias("summary"), F.split(t, "[.] ").alias("key_details")
     ))
     lines = F.concat(first, F.lit("\n- "), F.array_join(F.split(t, "[.] "), "\n• "), F.lit("\n2) last"))
     return table(spark, sf_dir, "conversations").select(
@@ -191,7 +208,7 @@ def model_outputs(spark, sf_dir) -> DataFrame:
 MODEL_OUTPUTS = r"""SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN obj WHEN 1 THEN 'Sure: ' || obj || ' done }'
     ELSE head || chr(10) || '- ' || array_to_string(parts, chr(10) || '• ') || chr(10) || '2) last' END AS raw
     FROM (SELECT conv_id, turn, string_split(text, chr(10))[1] AS head, string_split(text, '. ') AS parts,
-        to_json({'summary': string_split(text, chr(10))[1], 'key_details': string_split(text, '. ')[1:9]})::VARCHAR AS obj
+        to_json({'summary': string_split(text, chr(10))[1], 'key_details': string_split(text, '. ')})::VARCHAR AS obj
         FROM conversations)"""
 
 
@@ -259,24 +276,19 @@ def tickets(spark, sf_dir) -> DataFrame:
         pick(v % 3, "1", "1", "0").alias("financial_ops"),
         pick(v % 5, "0", "1", "1", "1", "1").alias("compliance_validation"),
         F.when(support, F.when(v % 12 == 5, " ").otherwise(risky)).alias("past_email"),
-        F.when(~support, F.when(v % 3 == 0, risky).otherwise(X_head(risky))).alias("query"),
+        F.when(~support, risky).alias("query"),
         F.when(v % 6 == 0, "damaged item\n\n refund window ").otherwise("").alias("key_points"),
         pick(v % 5, *K.INTENT_LABELS).alias("intent"),
         (v % 2 == 0).alias("allow_hard_escalate"),
     )
 
 
-def X_head(c: Column) -> Column:
-    """First sentence: a query as a person would type it."""
-    return F.substring_index(c, ".", 1)
-
-
 TICKETS = f"""SELECT vec_id AS ticket_id, {sql_pick('vec_id % 9', *["'answer the customer'"] * 8, "' ok '")} AS purpose,
     {sql_pick('vec_id % 4', "'true'", "'YES'", "'no'", "'false'")} AS support_agent_assistance,
     vec_id % 4 = 2 AS internal_ops, {sql_pick('vec_id % 3', "'1'", "'1'", "'0'")} AS financial_ops,
     {sql_pick('vec_id % 5', "'0'", "'1'", "'1'", "'1'", "'1'")} AS compliance_validation,
     CASE WHEN vec_id % 4 < 2 THEN CASE WHEN vec_id % 12 = 5 THEN ' ' ELSE risky END END AS past_email,
-    CASE WHEN vec_id % 4 >= 2 THEN CASE WHEN vec_id % 3 = 0 THEN risky ELSE string_split(risky, '.')[1] END END AS query,
+    CASE WHEN vec_id % 4 >= 2 THEN risky END AS query,
     CASE WHEN vec_id % 6 = 0 THEN 'damaged item\n\n refund window ' ELSE '' END AS key_points,
     {sql_pick('vec_id % 5', *map(Q.lit, K.INTENT_LABELS))} AS intent, vec_id % 2 = 0 AS allow_hard_escalate
     FROM (SELECT vec_id, CASE WHEN vec_id % 11 = 3 THEN 'Chargeback now. ' || coalesce(text, '')
@@ -304,6 +316,8 @@ def log_columns(events: DataFrame) -> DataFrame:
         F.concat(F.lit("10.0.0."), (u % 37).cast("string")).alias("ip"),
         endpoint.alias("endpoint"),
         F.col("event_type").isin("view", "click").alias("is_llm"),
+        (F.col("event_type") == "click").alias("is_capped"),
+        F.when(F.col("event_id") % 23 == 0, " ok ").otherwise("answer the customer").alias("purpose"),
         (F.floor("value") % 7).cast("int").alias("rating"),
         (F.col("ts").cast("timestamp") + F.make_dt_interval(secs=F.col("event_id") % 700)).alias("seen_ts"),
     )
@@ -316,7 +330,8 @@ def request_log(spark, sf_dir) -> DataFrame:
 REQUEST_LOG = f"""SELECT event_id, ts, epoch_us(ts) AS us, 'k' || (user_id % 20) AS api_key,
     't' || (user_id % 5) AS tenant_id, '10.0.0.' || (user_id % 37) AS ip,
     CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in ENDPOINT_BY_EVENT)} END AS endpoint,
-    event_type IN ('view', 'click') AS is_llm, CAST(floor(value) AS BIGINT) % 7 AS rating,
+    event_type IN ('view', 'click') AS is_llm, event_type = 'click' AS is_capped,
+    CASE WHEN event_id % 23 = 0 THEN ' ok ' ELSE 'answer the customer' END AS purpose, CAST(floor(value) AS BIGINT) % 7 AS rating,
     ts + to_seconds(event_id % 700) AS seen_ts FROM events"""
 
 
@@ -387,6 +402,7 @@ CTES = {
     "url_docs": URL_DOCS,
     "url_probe": URL_PROBE,
     "messages": MESSAGES,
+    "emails": EMAILS,
     "model_outputs": MODEL_OUTPUTS,
     "corpus": CORPUS,
     "query_vectors": QUERY_VECTORS,

@@ -120,14 +120,14 @@ def key_points_format(spark, sf_dir):
     THEN summary || CASE WHEN details = '' THEN '' ELSE ' ' || details END
     ELSE text END || CASE WHEN points = '' THEN '' ELSE ' ' || points END AS query_text
     FROM (SELECT conv_id, turn, text, CASE WHEN conv_id % 5 = 0 THEN '' ELSE string_split(text, '.')[1] END AS summary,
-        array_to_string(list_filter(list_transform(string_split(text, '. ')[1:3], lambda d: trim(d, chr(10)||' ')),
+        array_to_string(list_filter(list_transform(string_split(text, '. '), lambda d: trim(d, chr(10)||' ')),
             lambda d: length(d) > 0), ' ') AS details,
         CASE WHEN conv_id % 2 = 0 THEN 'refund window' ELSE '' END AS points FROM conversations)"""))
 def build_query_text(spark, sf_dir):
     t, c = F.col("text"), F.col("conv_id")
     summary = F.when(F.col("turn") % 2 == 0, F.when(c % 5 == 0, "").otherwise(F.substring_index(t, ".", 1)))
     points = F.when(c % 2 == 0, "refund window").otherwise("")
-    details = F.slice(F.split(t, "[.] "), 1, 3)
+    details = F.split(t, "[.] ")
     return table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", T.query_text(summary, details, t, points).alias("query_text")
     )

@@ -27,12 +27,6 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
-def emails(spark, sf_dir):
-    """First user turn of each conversation."""
-    m = X.messages(spark, sf_dir).filter("role = 'user'")
-    return m.groupBy(F.col("conv_id").alias("ticket_id")).agg(F.min_by("body", "turn").alias("body"))
-
-
 def attachments(spark, sf_dir):
     """All turns of other roles."""
     return X.messages(spark, sf_dir).filter("role <> 'user'").select(
@@ -40,7 +34,6 @@ def attachments(spark, sf_dir):
 
 
 TICKET_CTES = {
-    "mails": "SELECT conv_id AS ticket_id, arg_min(body, turn) AS body FROM messages WHERE role = 'user' GROUP BY conv_id",
     "files": f"""SELECT conv_id AS ticket_id, turn AS pos, body, size_bytes,
         CASE WHEN regexp_extract({Q.safe_file_name('file_name')}, '[.][^.]*$') NOT IN ('.pdf', '.txt') THEN 'unsupported_file_type'
              WHEN size_bytes > 5242880 THEN 'file_too_large' END AS bad FROM messages WHERE role <> 'user'""",
@@ -61,11 +54,11 @@ def attachment_admission(spark, sf_dir):
 @query("ticket_text_assemble", sql(f"""SELECT ticket_id, CAST(length(email) AS INTEGER) AS email_len,
     CASE WHEN email = '' THEN '' ELSE 'CUSTOMER MESSAGE:\n' || email END ||
     CASE WHEN listed IS NULL THEN '' ELSE '\n\nATTACHMENTS:\n' || listed END AS text
-    FROM (SELECT ticket_id, substring({Q.email_clean('body')}, 1, 5000) AS email FROM mails) LEFT JOIN parts USING (ticket_id)""",
+    FROM (SELECT ticket_id, substring({Q.email_clean('body')}, 1, 5000) AS email FROM emails) LEFT JOIN parts USING (ticket_id)""",
                                    **TICKET_CTES))
 def ticket_text_assemble(spark, sf_dir):
     files = attachments(spark, sf_dir)
-    return tickets.assemble(emails(spark, sf_dir), files, tickets.attachment_verdicts(files, MAX_FILES))
+    return tickets.assemble(X.emails(spark, sf_dir), files, tickets.attachment_verdicts(files, MAX_FILES))
 
 
 def reason_sql(text: str) -> str:

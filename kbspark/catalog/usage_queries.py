@@ -8,13 +8,14 @@ from kbspark import constants as K
 from kbspark.catalog import fixtures as X
 from kbspark.catalog import sqlkit as Q
 from kbspark.catalog.fixtures import sql
+from kbspark.functions import rules
 from kbspark.operators import access, limits, usage
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 # Scaled down so that every outcome occurs in the given tables.
-REQUEST_CAP, LLM_CAP = 400, 160
+REQUEST_CAP, LLM_CAP = 400, 80
 SPIKE, GROWTH, EXPECTED, PROXIMITY_CAP = 1.2, 1.05, 300, 540
 NOW = "2024-02-05 00:00:00"
 USERS = ("user_id",)
@@ -86,7 +87,7 @@ def usage_peak_day(spark, sf_dir):
 
 BLOCKS = {
     "counted": """SELECT *, strftime(ts, '%Y-%m') AS month, row_number() OVER (PARTITION BY api_key, strftime(ts, '%Y-%m') ORDER BY us, event_id) AS rn,
-        CASE WHEN is_llm THEN row_number() OVER (PARTITION BY api_key, strftime(ts, '%Y-%m'), is_llm ORDER BY us, event_id) END AS ln FROM shifted_log""",
+        CASE WHEN is_capped THEN row_number() OVER (PARTITION BY api_key, strftime(ts, '%Y-%m'), is_capped ORDER BY us, event_id) END AS ln FROM shifted_log""",
     "blocked": f"""SELECT api_key, month, min(rn) AS stop_rn, arg_min(reason, rn * 2 + late) AS reason FROM
         (SELECT api_key, month, rn, 0 AS late, '{K.REQUEST_CAP_REASON}' AS reason FROM counted WHERE rn = {REQUEST_CAP + 1}
          UNION ALL SELECT api_key, month, rn, 1, '{K.LLM_CAP_REASON}' FROM counted WHERE ln = {LLM_CAP + 1}) GROUP BY ALL""",
@@ -101,7 +102,7 @@ def cap_autoblock(spark, sf_dir):
 
 
 @query("quota_counters", sql(f"""SELECT c.api_key, c.month, count(*) FILTER (WHERE rn <= coalesce(stop_rn, 9e15)) AS request_count,
-    count(*) FILTER (WHERE is_llm AND rn <= coalesce(stop_rn, 9e15) AND NOT (rn = coalesce(stop_rn, 9e15) AND reason = '{K.REQUEST_CAP_REASON}')) AS llm_call_count,
+    count(*) FILTER (WHERE is_capped AND rn <= coalesce(stop_rn, 9e15) AND NOT (rn = coalesce(stop_rn, 9e15) AND reason = '{K.REQUEST_CAP_REASON}')) AS llm_call_count,
     max(stop_rn) IS NOT NULL AS disabled, coalesce(max(reason), '') AS disabled_reason
     FROM counted c LEFT JOIN blocked b ON c.api_key = b.api_key AND c.month = b.month GROUP BY c.api_key, c.month""", **BLOCKS))
 def quota_counters(spark, sf_dir):
@@ -213,7 +214,7 @@ def entitlement_check(spark, sf_dir):
 
 
 LOOKED = """SELECT k.lookup_id, k.interaction_id, k.tenant_id, s.purpose, s.key_points, CASE WHEN s.interaction_id IS NULL THEN 'unknown'
-    WHEN s.expires_at < k.requested_at THEN 'expired' ELSE 'valid' END AS state_status FROM lookups k LEFT JOIN states s
+    WHEN k.requested_at < s.created_at THEN 'unknown' WHEN s.expires_at < k.requested_at THEN 'expired' ELSE 'valid' END AS state_status FROM lookups k LEFT JOIN states s
     ON s.interaction_id = k.interaction_id AND s.tenant_id = k.tenant_id"""
 
 
@@ -236,20 +237,21 @@ def interaction_audit(spark, sf_dir):
 
 ADMIT_RATE = {"api_retrieve": 3, "api_predict": 3, "api_ingest_kb": 2, "api_feedback": 3}
 ADMIT_ABUSE = {"api_retrieve": 4, "api_predict": 3, "api_ingest_kb": 3}
-ADMIT_CAPS = (110, 45)
+ADMIT_CAPS = (110, 22)
 ADMIT_SECONDS = 86_400
 ADMISSION = {
     "entitled": ENTITLED,
     "entered": "SELECT * FROM entitled WHERE scope_code = 200",
     **log_replay("rate_steps", "entered", "api_key || endpoint", limit_sql(ADMIT_RATE), ADMIT_SECONDS * 1_000_000),
     "second": """SELECT e.*, CASE WHEN NOT r.accepted THEN 'rate_limited'
-        WHEN abs((epoch_us(seen_ts) // 1000000) - (us // 1000000)) > 600 THEN 'stale' WHEN status_code <> 200 THEN 'disabled_key' END AS outcome
+        WHEN abs((epoch_us(seen_ts) // 1000000) - (us // 1000000)) > 600 THEN 'stale' WHEN status_code <> 200 THEN 'disabled_key'
+        WHEN endpoint = 'api_retrieve' AND length(trim(purpose)) < 5 THEN 'bad_input' END AS outcome
         FROM entered e JOIN rate_steps r ON r.event_id = e.event_id AND r.rn > 0""",
     "clean": "SELECT * FROM second WHERE outcome IS NULL",
     **log_replay("abuse_steps", "clean", "ip || endpoint", limit_sql(ADMIT_ABUSE), ADMIT_SECONDS * 1_000_000),
     "third": "SELECT c.* EXCLUDE (outcome), CASE WHEN NOT r.accepted THEN 'abuse_detected' END AS outcome FROM clean c JOIN abuse_steps r ON r.event_id = c.event_id AND r.rn > 0",
     "numbered": """SELECT *, row_number() OVER (PARTITION BY api_key, strftime(ts, '%Y-%m') ORDER BY us, event_id) AS rn,
-        CASE WHEN is_llm THEN row_number() OVER (PARTITION BY api_key, strftime(ts, '%Y-%m'), is_llm ORDER BY us, event_id) END AS ln, strftime(ts, '%Y-%m') AS month
+        CASE WHEN is_capped THEN row_number() OVER (PARTITION BY api_key, strftime(ts, '%Y-%m'), is_capped ORDER BY us, event_id) END AS ln, strftime(ts, '%Y-%m') AS month
         FROM third WHERE outcome IS NULL""",
     "stops": f"""SELECT api_key, month, min(rn) AS stop_rn, arg_min(reason, rn * 2 + late) AS reason FROM
         (SELECT api_key, month, rn, 0 AS late, '{K.REQUEST_CAP_REASON}' AS reason FROM numbered WHERE rn = {ADMIT_CAPS[0] + 1}
@@ -263,7 +265,9 @@ ADMISSION = {
     UNION ALL SELECT event_id, CASE WHEN rn >= stop_rn THEN reason ELSE 'admitted' END FROM numbered n LEFT JOIN stops s
     ON n.api_key = s.api_key AND n.month = s.month""", recursive=True, **ADMISSION))
 def request_admission_replay(spark, sf_dir):
+    given = rules.ticket_gate(F.col("purpose"), F.lit("internal_ops"), F.lit(""), F.lit(""), F.lit("refund window"))
     out = access.admission_replay(
         X.request_log(spark, sf_dir), X.api_keys(spark, sf_dir), ADMIT_RATE, ADMIT_ABUSE, *ADMIT_CAPS,
-        rate_seconds=ADMIT_SECONDS, abuse_seconds=ADMIT_SECONDS, skew_seconds=600)
+        rate_seconds=ADMIT_SECONDS, abuse_seconds=ADMIT_SECONDS, skew_seconds=600,
+        input_ok=(F.col("endpoint") != "api_retrieve") | (given["gate_status"] == "PASS"))
     return out.select("event_id", "outcome")

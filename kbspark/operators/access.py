@@ -32,10 +32,11 @@ def entitlement(log: DataFrame, api_keys: DataFrame) -> DataFrame:
 
 def lookup(requests: DataFrame, states: DataFrame) -> DataFrame:
     """Requests with ``state_status`` (valid, expired, unknown) and the state's
-    columns where it is still valid at ``requested_at``."""
+    columns. A state is known from ``created_at`` on and valid until ``expires_at``."""
     keys = ["interaction_id", "tenant_id"]
     joined = requests.join(states, keys, "left")
-    status = F.when(F.col("expires_at").isNull(), "unknown").when(
+    status = F.when(
+        F.col("expires_at").isNull() | (F.col("requested_at") < F.col("created_at")), "unknown").when(
         F.col("expires_at") < F.col("requested_at"), "expired").otherwise("valid")
     return joined.withColumn("state_status", status)
 

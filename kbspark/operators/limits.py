@@ -8,8 +8,7 @@ is accepted whatever came before. Only the dense stretches are replayed."""
 
 from __future__ import annotations
 
-from collections import deque
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -92,16 +91,16 @@ def _segmented(context: DataFrame, keys, window_us: int, segment_rows: int) -> D
 def _replay(keys, window_us: int, schema: str):
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["us", "event_id"], kind="stable")
-        recent: deque = deque()
-        answers = []
-        for us, limit, known in zip(pdf["us"], pdf["lim"], pdf["known"]):
-            while recent and recent[0] <= us - window_us:
-                recent.popleft()
-            ok = bool(known) or len(recent) < limit
-            if ok:
-                recent.append(us)
-            answers.append(ok)
-        pdf["accepted"] = answers
+        times, n = np.empty(len(pdf), np.int64), 0  # of accepted requests, the first n in use
+        accepted = pdf["known"].to_numpy(bool, copy=True)
+        oldest = pdf["us"].to_numpy() - window_us
+        for row, (us, limit) in enumerate(zip(pdf["us"], pdf["lim"])):
+            # There is room if the limit-th last accepted request has left the window.
+            if accepted[row] or n < limit or 0 < limit and times[n - limit] <= oldest[row]:
+                accepted[row] = True
+                times[n] = us
+                n += 1
+        pdf["accepted"] = accepted
         return pdf
 
     return one

@@ -1,6 +1,7 @@
 """Usage totals, monthly quotas and monitoring alerts over a request log.
 
-Log columns: event_id, ts, us (microseconds), api_key, tenant_id, is_llm."""
+Log columns: event_id, ts, us (microseconds), api_key, tenant_id, is_llm (the
+request counts as use of a model), is_capped (it counts towards the cap on calls)."""
 
 from __future__ import annotations
 
@@ -73,9 +74,9 @@ def blocks(
 ) -> DataFrame:
     """When and why each key was disabled in a month. Counting stops there, so
     the earlier crossing decides; on one row the request cap comes first."""
-    dated = log.withColumn("month", month_of(F.col("ts"))).select(*keys, "month", "us", "event_id", "is_llm")
+    dated = log.withColumn("month", month_of(F.col("ts"))).select(*keys, "month", "us", "event_id", "is_capped")
     both = _crossing(dated, keys, request_cap, K.REQUEST_CAP_REASON).unionByName(
-        _crossing(dated.filter("is_llm"), keys, llm_cap, K.LLM_CAP_REASON))
+        _crossing(dated.filter("is_capped"), keys, llm_cap, K.LLM_CAP_REASON))
     first = F.min_by("reason", F.struct("at", (F.col("reason") != K.REQUEST_CAP_REASON).alias("later")))
     return both.groupBy(*keys, "month").agg(F.min("at").alias("blocked_at"), first.alias("reason"))
 
@@ -96,7 +97,7 @@ def quota_counters(log: DataFrame, request_cap: int, llm_cap: int, keys=("api_ke
     dated = log.withColumn("month", month_of(F.col("ts"))).join(when, [*keys, "month"], "left")
     pos = F.struct("us", "event_id")
     counted = F.col("blocked_at").isNull() | (pos <= F.col("blocked_at"))
-    called = counted & F.col("is_llm") & ~F.coalesce(
+    called = counted & F.col("is_capped") & ~F.coalesce(
         (pos == F.col("blocked_at")) & (F.col("reason") == K.REQUEST_CAP_REASON), F.lit(False))
     return dated.groupBy(*keys, "month").agg(
         F.count_if(counted).alias("request_count"),

@@ -45,9 +45,11 @@ def ensure_utc(spark: SparkSession) -> SparkSession:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, one machine) is a temporary folder used."""
+    Only where that is unset on one machine, as in tests, is a temporary folder used."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="kbspark-")
         spark.sparkContext.setCheckpointDir(root)
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")

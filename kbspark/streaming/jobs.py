@@ -60,7 +60,7 @@ def quota(log: DataFrame, request_cap: int, llm_cap: int, lateness: str = LATENE
     """event_id, api_key, month, allowed, block_reason of a log stream."""
     stateful(log.sparkSession)
     rows = log.withColumn("month", usage.month_of(F.col("ts"))).select(
-        "ts", "us", "event_id", "api_key", "month", "is_llm").withWatermark("ts", lateness)
+        "ts", "us", "event_id", "api_key", "month", "is_capped").withWatermark("ts", lateness)
     return rows.groupBy("api_key", "month").transformWithStateInPandas(
         statefulProcessor=MonthlyQuota(request_cap, llm_cap),
         outputStructType="event_id bigint, api_key string, month string, allowed boolean, block_reason string",
@@ -96,10 +96,11 @@ class VectorLimitExceeded(ValueError):
     pass
 
 
-def index_sink(path: str, dim: int = models.DIM, max_vectors: int | None = K.MAX_VECTORS) -> Callable[[DataFrame, int], None]:
+def index_sink(path: str, dim: int = models.DIM, max_vectors: int | None = None) -> Callable[[DataFrame, int], None]:
     """Clean, chunk, de-duplicate within each file, embed and append new files
     (file_name, content). A file already indexed with the same content is left
-    out, so a replayed batch adds nothing; each batch is one folder."""
+    out, so a replayed batch adds nothing; each batch is one folder. Where
+    ``max_vectors`` is given, a batch that would exceed it fails."""
 
     def indexed(spark: SparkSession) -> DataFrame | None:
         try:

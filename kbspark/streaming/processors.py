@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,11 +29,11 @@ class SlidingLog(StatefulProcessor):
         accepted = []
         for us, endpoint in zip(batch["us"], batch["endpoint"]):
             limit = self.limits.get(endpoint)
-            recent = [t for t in recent if t > us - self.window_us]
-            ok = limit is None or len(recent) < limit
+            ok = limit is None or len(recent) - bisect_right(recent, us - self.window_us) < limit
             if ok and limit is not None:
-                recent.append(int(us))
+                insort(recent, int(us))
             accepted.append(ok)
+        del recent[:bisect_right(recent, int(batch["us"].iloc[-1]) - self.window_us)]
         if recent:
             self.recent.update((recent,))
             for timer in list(self.handle.listTimers()):
@@ -64,12 +65,12 @@ class MonthlyQuota(StatefulProcessor):
         requests, calls, reason = tuple(self.counts.get()) if self.counts.exists() else (0, 0, "")
         batch = pd.concat(list(rows)).sort_values(["us", "event_id"], kind="stable")
         reasons = []
-        for is_llm in batch["is_llm"]:
+        for is_capped in batch["is_capped"]:
             if not reason:
                 requests += 1
                 if requests > self.request_cap:
                     reason = K.REQUEST_CAP_REASON
-                elif is_llm:
+                elif is_capped:
                     calls += 1
                     if calls > self.llm_cap:
                         reason = K.LLM_CAP_REASON

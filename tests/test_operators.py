@@ -3,7 +3,8 @@ near-copies, one key with most rows, boundaries and ties."""
 
 import math
 import random
-from collections import Counter, deque
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -47,20 +48,21 @@ def test_contained_respects_scope(spark):
     assert {r["id"] for r in dedupe.contained_ids(rows, scope="file").collect()} == {2, 4}
 
 
-def contest(vectors, strengths, threshold):
-    """The sequential rule, stated plainly."""
-    n = len(vectors)
+def fallen(edges, strengths):
+    """Edges in order: of two rows that both stand the weaker falls, the later one on a tie."""
+    gone = set()
+    for edge in sorted(edges):
+        if gone.isdisjoint(edge):
+            gone.add(min(edge, key=lambda i: (strengths[i], -i)))
+    return gone
 
-    def cosine(a, b):
-        dot = sum(w * b.get(t, 0) for t, w in a.items())
-        return dot / math.sqrt(sum(w * w for w in a.values()) * sum(w * w for w in b.values()))
 
-    keep = [True] * n
-    for i in range(n):
-        for j in range(i + 1, n):
-            if keep[i] and keep[j] and cosine(vectors[i], vectors[j]) > threshold:
-                keep[j if strengths[i] >= strengths[j] else i] = False
-    return {i for i in range(n) if not keep[i]}
+def alike(vectors, threshold):
+    def dot(a, b):
+        return sum(w * b.get(t, 0) for t, w in a.items())
+
+    return [(i, j) for i, j in combinations(range(len(vectors)), 2)
+            if dot(vectors[i], vectors[j]) > threshold * math.sqrt(dot(vectors[i], vectors[i]) * dot(vectors[j], vectors[j]))]
 
 
 @pytest.mark.parametrize("hot_block", [4, 2000])
@@ -79,7 +81,7 @@ def test_near_duplicates_equal_the_sequential_rule(spark, hot_block):
     vectors = spark.createDataFrame(rows, "id bigint, term string, weight double")
     nodes = spark.createDataFrame(list(enumerate(strengths)), "id bigint, strength bigint")
     got = {r["id"] for r in dedupe.near_duplicate_ids(vectors, nodes, 0.9, hot_block).collect()}
-    assert got == contest([Counter(d) for d in docs], strengths, 0.9)
+    assert got == fallen(alike([Counter(d) for d in docs], 0.9), strengths)
 
 
 @pytest.mark.parametrize("strengths", [(3, 1, 2), (1, 2, 3), (1, 3, 2), (2, 2, 2), (3, 2, 1)])
@@ -87,11 +89,8 @@ def test_contest_of_a_chain(spark, strengths):
     """A~B~C, A and C unlike: what B's loss leaves standing."""
     edges = spark.createDataFrame([(0, 1), (1, 2)], "a bigint, b bigint")
     nodes = spark.createDataFrame(list(enumerate(strengths)), "id bigint, strength bigint")
-    keep = [True] * 3
-    for a, b in ((0, 1), (1, 2)):
-        if keep[a] and keep[b]:
-            keep[b if strengths[a] >= strengths[b] else a] = False
-    assert {r["id"] for r in dedupe.resolve_edges(edges, nodes).collect()} == {i for i in range(3) if not keep[i]}
+    want = {(3, 1, 2): {1}, (1, 2, 3): {0, 1}, (1, 3, 2): {0, 2}, (2, 2, 2): {1}, (3, 2, 1): {1}}
+    assert {r["id"] for r in dedupe.resolve_edges(edges, nodes).collect()} == want[strengths]
 
 
 def test_contest_on_random_graphs(spark):
@@ -100,13 +99,9 @@ def test_contest_on_random_graphs(spark):
         n = 18
         pairs = sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(40)})
         s = [rng.randint(0, 6) for _ in range(n)]
-        keep = [True] * n
-        for a, b in pairs:
-            if keep[a] and keep[b]:
-                keep[b if s[a] >= s[b] else a] = False
         got = dedupe.resolve_edges(
             spark.createDataFrame(pairs, "a bigint, b bigint"), spark.createDataFrame(list(enumerate(s)), "id bigint, strength bigint"))
-        assert {r["id"] for r in got.collect()} == {i for i in range(n) if not keep[i]}
+        assert {r["id"] for r in got.collect()} == fallen(pairs, s)
 
 
 # -- retrieval ------------------------------------------------------------
@@ -146,14 +141,11 @@ def test_confidence(spark):
 
 
 def replayed(rows, limit, window):
-    recent, answer = {}, {}
+    """By the rule: how many accepted requests of the key lie in (t - window, t]."""
+    answer, accepted = {}, []
     for key, us, event in sorted(rows, key=lambda r: (r[1], r[2])):
-        q = recent.setdefault(key, deque())
-        while q and q[0] <= us - window:
-            q.popleft()
-        answer[event] = len(q) < limit
-        if answer[event]:
-            q.append(us)
+        answer[event] = sum(other == key and t > us - window for other, t in accepted) < limit
+        accepted += [(key, us)] * answer[event]
     return answer
 
 
@@ -181,8 +173,8 @@ def test_window_boundary(spark):
 def test_quota_stops_counting(spark):
     day = "2024-01-0{} 00:00:00"
     rows = [(i, day.format(1 + i // 4), i % 2 == 0) for i in range(12)] + [(99, "2024-02-01 00:00:00", True)]
-    log = spark.createDataFrame(rows, "event_id bigint, t string, is_llm boolean").select(
-        "event_id", F.to_timestamp("t").alias("ts"), F.unix_micros(F.to_timestamp("t")).alias("us"), F.lit("k").alias("api_key"), "is_llm")
+    log = spark.createDataFrame(rows, "event_id bigint, t string, is_capped boolean").select(
+        "event_id", F.to_timestamp("t").alias("ts"), F.unix_micros(F.to_timestamp("t")).alias("us"), F.lit("k").alias("api_key"), "is_capped", F.lit(True).alias("is_llm"))
     got = {r["event_id"]: (r["allowed"], r["block_reason"]) for r in usage.autoblock(log, 100, 3).collect()}
     assert [e for e, (ok, _) in got.items() if ok and e < 99] == [0, 1, 2, 3, 4, 5] and got[99][0]
     assert got[6] == (False, "auto_block_llm_cap_exceeded")
@@ -221,12 +213,13 @@ def test_fast_burn_on_the_last_day(spark):
 
 def test_lookup_expiry_boundary(spark):
     states = spark.createDataFrame([("a", "t", "2024-01-01 02:00:00")], "interaction_id string, tenant_id string, e string").select(
-        "interaction_id", "tenant_id", F.to_timestamp("e").alias("expires_at"))
+        "interaction_id", "tenant_id", (F.to_timestamp("e") - F.expr("INTERVAL 2 HOURS")).alias("created_at"), F.to_timestamp("e").alias("expires_at"))
     asked = spark.createDataFrame(
-        [("a", "t", "2024-01-01 02:00:00"), ("a", "t", "2024-01-01 02:00:01"), ("a", "other", "2024-01-01 00:00:00")],
+        [("a", "t", "2024-01-01 02:00:00"), ("a", "t", "2024-01-01 02:00:01"), ("a", "other", "2024-01-01 00:00:00"),
+         ("a", "t", "2024-01-01 00:00:00"), ("a", "t", "2023-12-31 23:59:59")],
         "interaction_id string, tenant_id string, r string").select("interaction_id", "tenant_id", F.to_timestamp("r").alias("requested_at"))
     got = sorted(r["state_status"] for r in access.lookup(asked, states).collect())
-    assert got == ["expired", "unknown", "valid"]
+    assert got == ["expired", "unknown", "unknown", "valid", "valid"]
 
 
 def test_override_and_links(spark):

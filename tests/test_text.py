@@ -45,7 +45,6 @@ def test_header_round_trip(spark):
 
 def test_kb_clean(spark):
     texts = ["a\r\nb\r\rc\n\n\n\nd", "x  \t y", "keep\nALL RIGHTS reserved 2024\nend", "page 3 of 9 text", "a------b", "a copyright x y\nz"]
-    assert values(spark, texts, X.kb_clean) == ["a\nb\n\nc\n\nd", "x y", "keep\n\nend", "text", "ab", "a\nz".replace("\n", " \n")] or True
     got = values(spark, texts, X.kb_clean)
     assert got[:5] == ["a\nb\n\nc\n\nd", "x y", "keep\n\nend", "text", "ab"]
     assert got[5] == "a \nz"   # '.' runs over every separator but the line feed
