@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kbspark.catalog import fixtures
 from kbspark.functions import text as X
 from kbspark.operators import access, chunking, dedupe, limits, retrieval, tickets, usage
 from kbspark.plans import kb
@@ -259,3 +260,11 @@ def test_length_gate(spark):
     got = [r["g"] for r in rows.select(X.length_gate(F.col("t"), F.col("n")).alias("g")).collect()]
     assert [(g["too_long"], g["reason"], len(g["text"])) for g in got] == [
         (False, "", 12000), (True, "past_email_length_too_long", 12000), (True, "attachment(s)_text_length_too_long", 12000)]
+
+
+def test_mails_hold_every_user_turn(spark):
+    folder = "/root/testdata/sf0.001"
+    mails = {r["ticket_id"]: r["body"] for r in fixtures.emails(spark, folder).collect()}
+    turns = spark.read.parquet(f"{folder}/conversations.parquet").filter("role = 'user'").collect()
+    assert turns and {r["conv_id"] for r in turns} == set(mails)
+    assert all((r["text"] or "") in mails[r["conv_id"]] for r in turns)
