@@ -15,7 +15,7 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 # Scaled down so that every outcome occurs in the given tables.
-REQUEST_CAP, LLM_CAP = 400, 80
+REQUEST_CAP, LLM_CAP = 240, 50
 SPIKE, GROWTH, EXPECTED, PROXIMITY_CAP = 1.2, 1.05, 300, 540
 NOW = "2024-02-05 00:00:00"
 USERS = ("user_id",)
