@@ -283,7 +283,8 @@ def kb_ingest_with_rejects(spark, sf_dir):
 
 # -- sinks read back ------------------------------------------------------
 
-@query("sink_vector_table", sql("SELECT chunk_id, source, file_name, text, len(embedding) AS dim FROM corpus"))
+@query("sink_vector_table", sql("""SELECT chunk_id, source, file_name, text, len(embedding) AS dim, CAST(list_sum(list_transform(
+    embedding, lambda e, i: i * CAST(floor(CAST(e AS DOUBLE) * 1000000) AS BIGINT))) AS BIGINT) AS digest FROM corpus"""))
 def sink_vector_table(spark, sf_dir):
     from kbspark.session import work_dir
     from kbspark.sources import sinks
@@ -291,7 +292,9 @@ def sink_vector_table(spark, sf_dir):
     path = work_dir(spark, "vectors")
     sinks.write_vectors(X.corpus(spark, sf_dir), path)
     return sinks.read_vectors(spark, path, 64).select(
-        "chunk_id", "source", "file_name", "text", F.size("embedding").cast("bigint").alias("dim"))
+        "chunk_id", "source", "file_name", "text", F.size("embedding").cast("bigint").alias("dim"),
+        F.aggregate(F.transform("embedding", lambda e, i: (i + 1) * F.floor(e.cast("double") * 1000000)),
+                    F.lit(0).cast("bigint"), lambda total, x: total + x).alias("digest"))
 
 
 @query("sink_jsonl_logs", sql("""SELECT tenant_id, CAST(event_id AS VARCHAR) AS request_id, endpoint, us, 'success' AS status FROM request_log"""))

@@ -6,14 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kbspark import constants as K
 from kbspark.functions import text as X
+from kbspark.session import work_dir
 
-BROADCAST_QUERIES = 4096    # query vectors sent to every worker, at most
-CORPUS_BLOCK = 32_768       # rows of one corpus block
-QUERY_BLOCK = 4096          # rows of one query block
+CORPUS_BLOCK = 32_768       # rows of one corpus block, about
+QUERY_BLOCK = 4096          # rows of one query block, about
 CELLS = 4_000_000           # distances held at once by one worker
 HIT_SCHEMA = "query_id bigint, source string, chunk_id bigint, distance double"
 
@@ -58,48 +60,46 @@ def _hits(q_ids, q, block: pd.DataFrame, budgets: dict[str, int]) -> pd.DataFram
          "chunk_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
 
 
+def _blocks(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """Frames joined until they have ``rows`` rows; empty ones are left out."""
+    held, n = [], 0
+    for frame in frames:
+        if len(frame):
+            held.append(frame)
+            n += len(frame)
+        if n >= rows:
+            yield pd.concat(held)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held)
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, budgets: dict[str, int] | None = None) -> DataFrame:
     """Nearest chunks of each query and source: query_id, source, chunk_id,
     distance (squared L2). ``queries`` is (query_id, vector), ``corpus``
     (chunk_id, source, embedding); ``budgets`` is k per source.
 
-    Up to ``BROADCAST_QUERIES`` queries, counted first, go to every worker and
-    the corpus is scanned in place, without a shuffle. Beyond that both sides
-    are cut into hashed blocks of bounded size and every pair of blocks is one
-    group. Either way a query gets at most k rows per source and batch or
-    block, and distances never leave the worker."""
+    The corpus stays where it is, without a shuffle. The queries are written
+    to the shared folder once; for each block of its rows a task reads them
+    block by block, so it holds one block of either side, and a query gets at
+    most k rows per source and corpus block. Rows without a vector are left out."""
     budgets = budgets or K.TOP_K_BUDGETS
-    spark = corpus.sparkSession
-    vectors = corpus.filter(F.col("source").isin(*budgets)).select("chunk_id", "source", "embedding")
-    asked = queries.select("query_id", "vector")
-    sample = asked.limit(BROADCAST_QUERIES + 1).collect()
-    if len(sample) <= BROADCAST_QUERIES:
-        q_ids = np.array([r[0] for r in sample], dtype="int64")
-        q = np.array([r[1] for r in sample], dtype="float64")
-        sent = spark.sparkContext.broadcast((q_ids, q))
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, vecs = sent.value
-            for block in batches:
-                yield _hits(ids, vecs, block, budgets)
-
-        partial = vectors.mapInPandas(scan, HIT_SCHEMA)
-    else:
-        cuts = max(1, -(-vectors.count() // CORPUS_BLOCK))
-        q_cuts = max(1, -(-asked.count() // QUERY_BLOCK))
-        c = vectors.withColumn("cb", F.pmod(F.xxhash64("chunk_id"), F.lit(cuts)).cast("int")).withColumn(
-            "qb", F.explode(F.sequence(F.lit(0), F.lit(q_cuts - 1))))
-        q = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_cuts)).cast("int")).withColumn(
-            "cb", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))))
-
-        def pair(asked_block: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-            if asked_block.empty or block.empty:
-                return _hits(None, [], block, budgets)
-            vecs = np.stack(asked_block["vector"].to_numpy()).astype("float64")
-            return _hits(asked_block["query_id"].to_numpy(), vecs, block, budgets)
-
-        partial = q.groupBy("cb", "qb").cogroup(c.groupBy("cb", "qb")).applyInPandas(pair, HIT_SCHEMA)
-    return within_budget(partial, budgets)
+    vectors = corpus.filter(F.col("source").isin(*budgets) & F.col("embedding").isNotNull()).select(
+        "chunk_id", "source", "embedding")
+    folder = work_dir(corpus.sparkSession, "queries")
+    queries.filter(F.col("vector").isNotNull()).select("query_id", "vector").write.parquet(folder)
+    uri = folder if ":" in folder.split("/")[0] else f"file://{folder}"
+    c_rows, q_rows = CORPUS_BLOCK, QUERY_BLOCK
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, path = fs.FileSystem.from_uri(uri)
+        stored = ds.dataset(path, format="parquet", filesystem=system)
+        for block in _blocks(batches, c_rows):
+            for asked in _blocks((b.to_pandas() for b in stored.to_batches(batch_size=q_rows)), q_rows):
+                vecs = np.stack(asked["vector"].to_numpy()).astype("float64")
+                yield _hits(asked["query_id"].to_numpy(), vecs, block, budgets)
+
+    return within_budget(vectors.mapInPandas(scan, HIT_SCHEMA), budgets)
 
 
 def within_budget(hits: DataFrame, budgets: dict[str, int]) -> DataFrame:

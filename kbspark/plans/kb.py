@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from kbspark import constants as K
 from kbspark.functions import rules as R
@@ -51,28 +51,42 @@ def build(
 
 
 def admit(manifest: DataFrame, existing: DataFrame) -> DataFrame:
-    """Files with ``safe_name``, ``stored_name``, ``clean_text`` and
-    ``reason`` (null when accepted), checks in order: conflict with a stored
-    file, hash, name and size, content."""
+    """Files with ``safe_name``, ``stored_name``, ``clean_text``, ``reason``
+    (null when accepted) and ``stored``, checks in order: conflict with a
+    stored file, hash, name and size, content.
+
+    Files of one stored name enter in the order of their names, so the first
+    accepted one is a stored file to those after it. Of accepted files of one
+    name, only the last is ``stored``: it has overwritten the others."""
     safe = X.safe_file_name(F.col("file_name"))
     named = manifest.withColumn("safe_name", safe).withColumn(
         "stored_name", F.concat(X.file_stem(F.col("safe_name")), F.lit(".txt")))
     taken = existing.select(F.col("file_name").alias("stored_name")).distinct().withColumn("taken", F.lit(True))
     checked = named.join(taken, "stored_name", "left").withColumn("clean_text", X.kb_clean(F.col("content")))
     mismatch = (F.coalesce("client_hash", F.lit("")) != "") & (F.col("client_hash") != F.sha2("content", 256))
-    reason = F.coalesce(
-        F.when(F.col("taken") & ~F.col("overwrite"), "kb_file_already_exists"),
+    fault = F.coalesce(
         F.when(mismatch, "hash_mismatch"),
         R.file_rejection(F.col("safe_name"), F.col("size_bytes")),
         X.kb_reject_reason(F.col("content"), F.col("clean_text")),
     )
-    return checked.withColumn("reason", reason).drop("taken")
+    # Nameless files never enter, so they need not share a group.
+    group = Window.partitionBy("stored_name", F.when(F.col("safe_name") == "", F.xxhash64("content")))
+    earlier = group.orderBy("file_name", "content").rowsBetween(Window.unboundedPreceding, -1)
+    later = group.orderBy(F.desc("file_name"), F.desc("content")).rowsBetween(Window.unboundedPreceding, -1)
+    keeps = ~F.coalesce("overwrite", F.lit(False))
+    fits = F.col("fault").isNull() & ~(F.coalesce("taken", F.lit(False)) & keeps)
+    conflict = keeps & (F.col("taken").isNotNull() | F.coalesce(F.max("fits").over(earlier), F.lit(False)))
+    decided = checked.withColumn("fault", fault).withColumn("fits", fits).withColumn(
+        "reason", F.when(conflict, "kb_file_already_exists").otherwise(F.col("fault")))
+    accepted = F.col("reason").isNull()
+    overwritten = F.coalesce(F.max(accepted).over(later), F.lit(False))
+    return decided.withColumn("stored", accepted & ~overwritten).drop("taken", "fault", "fits")
 
 
 def ingest(manifest: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted chunks, de-duplicated within their file, and rejected files."""
     verdicts = cut_lineage(admit(manifest, existing), "admitted")
-    accepted = verdicts.filter("reason is null").select(
+    accepted = verdicts.filter("stored").select(
         F.lit("UPLOADED_KB").alias("source"), F.col("stored_name").alias("file_name"), F.col("clean_text").alias("content"))
     chunks = dedupe_chunks(chunking.chunk(accepted), scope="file_name")
     return chunks, verdicts.filter("reason is not null").select("file_name", "safe_name", "reason")

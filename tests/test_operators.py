@@ -108,12 +108,11 @@ def test_contest_on_random_graphs(spark):
 # -- retrieval ------------------------------------------------------------
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_nearest_equals_brute_force(spark, monkeypatch, broadcast):
-    if not broadcast:
-        monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 3)
-        monkeypatch.setattr(retrieval, "CORPUS_BLOCK", 16)
-        monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
+@pytest.mark.parametrize("small", [False, True])
+def test_nearest_equals_brute_force(spark, monkeypatch, small):
+    if small:  # several blocks of queries for each block of the corpus
+        monkeypatch.setattr(retrieval, "CORPUS_BLOCK", 4)
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
     rng = np.random.default_rng(3)
     c = np.round(rng.normal(size=(60, 4)), 1)
     c[30:40] = c[5]  # ties
@@ -268,3 +267,19 @@ def test_mails_hold_every_user_turn(spark):
     turns = spark.read.parquet(f"{folder}/conversations.parquet").filter("role = 'user'").collect()
     assert turns and {r["conv_id"] for r in turns} == set(mails)
     assert all((r["text"] or "") in mails[r["conv_id"]] for r in turns)
+
+
+def test_files_of_one_name_in_a_batch(spark):
+    """Only the first enters, unless a later one may overwrite it; rejected ones are in nobody's way."""
+    text = "words enough to be a file of the knowledge base, " * 4
+    rows = [("A b.txt", False, None, 1), ("a_b.TXT", False, None, 2), ("C.txt", False, "bad", 3), ("c.txt", False, None, 4),
+            ("D.txt", False, None, 5), ("d.txt", True, None, 6), ("old.txt", False, None, 7)]
+    manifest = spark.createDataFrame(
+        [(n, 1000, o, h, f"{text}{i}") for n, o, h, i in rows],
+        "file_name string, size_bytes bigint, overwrite boolean, client_hash string, content string")
+    existing = spark.createDataFrame([("old.txt",)], "file_name string")
+    got = {r["file_name"]: (r["reason"], r["stored"]) for r in kb.admit(manifest, existing).collect()}
+    taken = ("kb_file_already_exists", False)
+    assert got["A b.txt"] == (None, True) and got["a_b.TXT"] == taken and got["old.txt"] == taken
+    assert got["C.txt"] == ("hash_mismatch", False) and got["c.txt"] == (None, True)
+    assert got["D.txt"] == (None, False) and got["d.txt"] == (None, True)
