@@ -25,9 +25,11 @@ def op2_mixing_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as ids in flat files, and what a scan of these files finds."""
-    files = separator_scan.write_flat(table(spark, sf_dir, "documents"), BYTE_BPE)
-    return separator_scan.scan(files)
+    """Every text as ids in flat files, and what a scan of these files finds, with
+    the doc_id that was noted for each place when the files were written."""
+    files, keys = separator_scan.write_keyed(table(spark, sf_dir, "documents"), BYTE_BPE)
+    found = separator_scan.scan(files).join(keys, ["file", "ordinal"], "left")
+    return found.select("doc_id", "file", "ordinal", "start", "n_tokens", "closed")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

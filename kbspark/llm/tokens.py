@@ -70,6 +70,10 @@ class ByteBPE:
         self.word = Memo(self._merge)
         self.after_space = Memo(lambda piece: self._divide(" " + piece))
 
+    def first_free_id(self) -> int:
+        """The first id above all that the tokenizer can give, added tokens included."""
+        return max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=-1) + 1
+
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 

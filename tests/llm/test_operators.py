@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kbspark.llm import (chat, elias_fano, mixing, multi_index, partition_join, separator_scan, spotsigs, toxicity,
                          url_rules, viterbi)
 from kbspark.llm.components import components
-from kbspark.llm.queries import BYTE_BPE, PIECES
+from kbspark.llm.queries import BYTE_BPE, PIECES, QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -133,6 +133,21 @@ def test_separator_scan(docs, none, texts):
     assert separator_scan.scan(separator_scan.write_flat(none, BYTE_BPE)).count() == 0
 
 
+def test_separator_scan_of_texts_that_hold_an_end_of_text_token(spark, tmp_path):
+    encode = library()
+    rows = [(7, "a <|endoftext|> b"), (3, "plain"), (None, "<|endoftext|>"), (9, None), (5, "<|endoftext|>" * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    files, keys = separator_scan.write_keyed(docs, BYTE_BPE)
+    found = separator_scan.scan(files, block=8).join(keys, ["file", "ordinal"]).orderBy("ordinal").collect()
+    assert [(r.doc_id, r.n_tokens, r.closed) for r in found] == [(i, len(encode(t)) + 1, True) for i, t in rows]
+    with pytest.raises(ValueError):
+        separator_scan.write_flat(docs, BYTE_BPE, end=50_256)
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op3_separator_scan"](spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(i), len(encode(t)) + 1) for i, t in rows)
+
+
 def test_flat_file_without_a_last_end(spark, tmp_path):
     np.array([5, 9, 7, 7, 9, 4], "<u4").tofile(tmp_path / "f")
     (tmp_path / "empty").touch()
