@@ -158,8 +158,8 @@ def _keys(width: int):
         for batch in batches:
             sets = [(len(s), key_of(s) if len(s) else None) for s in shingle_sets(_column(batch, "text"), width)]
             yield pa.RecordBatch.from_arrays(
-                [_column(batch, "id"), pa.array([n for n, _ in sets], pa.int64()), pa.array([k for _, k in sets], pa.int64())],
-                names=["id", "n", "key"])
+                [_column(batch, "id"), _column(batch, "text_hash"), pa.array([n for n, _ in sets], pa.int64()),
+                 pa.array([k for _, k in sets], pa.int64())], names=["id", "text_hash", "n", "key"])
 
     return run
 
@@ -314,13 +314,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Missing, empty and wordless texts have no shingles and link with nothing.
     Rows without a key are components of their own with a null component_id.
-    Rows of one key count as one document in one component. An empty table gives no rows; other columns are ignored."""
+    Rows of one key count as one document in one component, whatever their texts: each
+    text's set is indexed, and what links with one of them links with all. An empty table gives no rows; other columns are ignored."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    sets = saved(rows.mapInArrow(_keys(width), "id long, n long, key long"), "shingle-keys")
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))  # tells apart the texts of one id
+    sets = saved(rows.mapInArrow(_keys(width), "id long, text_hash long, n long, key long"), "shingle-keys")
     bands = Bands(percent)
     edge = [int(e) for e in bands.edges]
     classes = sets.where("key is not null and id is not null").groupBy("key").agg(
-        F.min("id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"))
+        F.min("id").alias("rep"), F.min_by("text_hash", "id").alias("text_hash"), F.max("n").alias("n"), F.count("*").alias("copies"))
     classes = saved(classes, "shingle-classes")
     level = F.size(F.filter(F.array(*map(F.lit, edge)), lambda e: e <= F.col("n"))) - 1
     counts = {r["band"]: r["count"] for r in classes.where(F.col("n") >= bands.first)
@@ -334,21 +336,29 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     pairs = saved(pairs, "leader-pairs")
 
     wanted = pairs.select("key").union(pairs.select(F.col("leader").alias("key"))).distinct()
-    wanted = wanted.join(classes, "key").select("key", F.col("rep").alias("id"))
-    texts = saved(rows.join(wanted, "id").groupBy("key").agg(F.min("text").alias("text")), "candidate-texts")
+    wanted = wanted.join(classes, "key").select("key", F.col("rep").alias("id"), "text_hash")
+    texts = saved(rows.join(wanted, ["id", "text_hash"]).groupBy("key").agg(F.min("text").alias("text")), "candidate-texts")
+
+    # Ids whose rows have several sets, or a set and none.
+    several = saved(sets.where("id is not null").groupBy("id").agg(
+        F.min("key").alias("leader"), F.max("key").alias("last"), F.count("key").alias("keyed"), F.count("*").alias("rows"))
+        .where("leader <> last or keyed > 0 and keyed < rows").select("id", "leader"), "several-sets")
+    of_one_id = sets.where("key is not null").join(several, "id").where("key <> leader").select("leader", "key").distinct()
 
     done = _verified(pairs.select("leader", "key").distinct(), texts, percent, width)
-    joined = saved(components(done.where("linked"), "leader", "key"), "joined")
+    linked = done.where("linked").select("leader", "key").unionByName(of_one_id)
+    joined = saved(components(linked, "leader", "key"), "joined")
     sketches = texts.mapInArrow(_sketches(plan, width), "key long, band long, n long, sketch binary")
     met = saved(_open_pairs(pairs, sketches, joined, percent), "open-pairs")
     late = _verified(met.join(done, ["leader", "key"], "left_anti"), texts, percent, width)
-    joined = saved(components(done.unionByName(late).where("linked"), "leader", "key"), "joined")
+    linked = linked.unionByName(late.where("linked").select("leader", "key"))
+    joined = saved(components(linked, "leader", "key"), "joined")
 
     named = classes.join(joined.withColumnRenamed("id", "key"), "key", "left").select(
         "key", "rep", F.coalesce("component", "key").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_key = named.join(least, "component").select("key", "component_id")
-    out = sets.join(by_key, "key", "left")
+    out = sets.join(several, "id", "left").withColumn("key", F.coalesce("key", "leader")).join(by_key, "key", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"),
                       F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 

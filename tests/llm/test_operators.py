@@ -341,6 +341,19 @@ def test_jaccard_join_by_brute_force(docs, none, texts, spark):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in found if x.doc_id is not None} == brute_components(rows)
 
 
+def test_jaccard_join_of_ids_with_several_texts(spark):
+    a, b = ["aa", *words(21, 60)], ["zz", *words(22, 60)]
+    rows = [(1, " ".join(b)), (1, " ".join(a)), (1, ""), (2, " ".join([*b, "more"])), (4, None), (4, " ".join([*a, "more"])),
+            (0, " ".join([*a, "less"])), (6, ""), (6, None), (8, " ".join(words(23, 60))), (8, " ".join(words(24, 60)))]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string")
+        got = [(r.doc_id, r.component_id) for r in partition_join.jaccard_components(docs).collect()]
+        assert sorted(got) == sorted((i, i if i > 4 else 0) for i, _ in rows)
+        assert sorted(r.doc_id for r in partition_join.one_of_each(docs).collect()) == [0, 6, 8]
+    docs = spark.createDataFrame([r for r in rows if r[0] in (1, 2)], "doc_id long, text string")
+    assert {r.component_id for r in partition_join.jaccard_components(docs).collect()} == {1}
+
+
 def test_fingerprints_by_brute_force(docs, none, texts):
     got = {r.doc_id: r for r in spotsigs.fingerprints(docs).collect()}
     order = sorted(texts, reverse=True)
