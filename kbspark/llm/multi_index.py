@@ -106,39 +106,46 @@ def _unit(lists: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _routes(book: Codebook):
-    width = -(-book.k // ROW_PARTS)
+def _routes(books: dict[int, Codebook]):
+    def one_length(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+        for whole in batches:
+            lengths = whole.column("n").to_numpy()
+            for n in np.unique(lengths):
+                of = whole.take(pa.array(np.flatnonzero(lengths == n)))
+                for start in range(0, of.num_rows, 1000):
+                    yield int(n), of.slice(start, 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
-                unit = _unit(batch.column("vector"))
-                first, second = book.cells(unit)
-                walls = book.walls(unit)
-                at, i, part, asks = [], [], [], []
-                for r in range(len(unit)):
-                    at.append(r)
-                    i.append(int(first[r]))
-                    part.append(int(second[r]) // width)
-                    asks.append(False)
-                    for a, js in book.visits(walls, r):
-                        for p in np.unique(js // width):
-                            at.append(r)
-                            i.append(a)
-                            part.append(int(p))
-                            asks.append(True)
-                rows = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(i, pa.int32()), pa.array(part, pa.int32()), pa.array(asks), rows.column("rep"),
-                     rows.column("copies"), rows.column("vector")],
-                    names=["i", "part", "asks", "rep", "copies", "vector"])
+        for n, batch in one_length(batches):
+            book = books[n]
+            width = -(-book.k // ROW_PARTS)
+            unit = _unit(batch.column("vector"))
+            first, second = book.cells(unit)
+            walls = book.walls(unit)
+            at, i, part, asks = [], [], [], []
+            for r in range(len(unit)):
+                at.append(r)
+                i.append(int(first[r]))
+                part.append(int(second[r]) // width)
+                asks.append(False)
+                for a, js in book.visits(walls, r):
+                    for p in np.unique(js // width):
+                        at.append(r)
+                        i.append(a)
+                        part.append(int(p))
+                        asks.append(True)
+            rows = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("n"), pa.array(i, pa.int32()), pa.array(part, pa.int32()), pa.array(asks), rows.column("rep"),
+                 rows.column("copies"), rows.column("vector")],
+                names=["n", "i", "part", "asks", "rep", "copies", "vector"])
 
     return run
 
 
-def _compare(book: Codebook, cosine: float):
+def _compare(books: dict[int, Codebook], cosine: float):
     def run(table: pa.Table) -> pa.Table:
+        book = books[table.column("n")[0].as_py()]
         asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
         rep = table.column("rep").to_numpy().astype(np.int64)
         copies = table.column("copies").to_numpy().astype(np.int64)
@@ -197,7 +204,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     can work out; tasks return sums and a forest of links, never pairs.
     Full cells are cut into pieces, so no task holds a whole one.
 
-    Vectors that are missing, empty, zero, of another length than most, or hold missing or
+    Vectors of different lengths link with nothing of each other; every length
+    has a grid of its own. Vectors that are missing, empty, zero, or hold missing or
     non-finite components link with nothing. Rows without a key are left out,
     repeated keys count as one vector, their least one. An empty table gives no rows;
     other columns are ignored."""
@@ -208,41 +216,38 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     wrong = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.col("vector").isNotNull() & ~wrong & F.exists("vector", lambda x: x != 0)
     rows = rows.withColumn("n", F.when(usable, F.size("vector")).otherwise(0))
-    rows = rows.withColumn("class", F.when(F.col("n") > 0, F.struct(F.xxhash64("vector").alias("x"), F.hash("vector").alias("y"))))
+    rows = rows.withColumn("class", F.when(F.col("n") > 0, F.struct("n", F.xxhash64("vector").alias("x"), F.hash("vector").alias("y"))))
     rows = saved(rows, "vectors")
-    lengths = rows.where("n > 0").groupBy("n").count().orderBy(F.desc("count"), "n").first()
-    alone = rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"),
-                        F.lit(True).alias("kept"))
-    if lengths is None:
-        return alone
-    right = rows.where(F.col("n") == lengths["n"])
-    classes = right.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("copies"),
+    right = rows.where("n > 0")
+    classes = right.groupBy("class").agg(F.first("n").alias("n"), F.min("id").alias("rep"), F.count("*").alias("copies"),
                                          F.first("vector").alias("vector"))
     classes = saved(classes, "vector-classes")
-    n = classes.count()
-    picked = classes if n <= sample else classes.where(
-        F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
-    fitted = np.array([r[0] for r in picked.orderBy(F.xxhash64("rep")).select("vector").limit(sample).collect()])
-    fitted /= np.linalg.norm(fitted, axis=1, keepdims=True)
-    k = min(CENTROIDS, max(1, round((n / CELL) ** 0.5)))
-    book = Codebook.fit(fitted, k, cosine, recall)
+    books = {}
+    for length, n in classes.groupBy("n").count().where("count > 1").orderBy("n").collect():  # a row for each length
+        of = classes.where(F.col("n") == length)
+        picked = of if n <= sample else of.where(
+            F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
+        fitted = np.array([r[0] for r in picked.orderBy(F.xxhash64("rep")).select("vector").limit(sample).collect()])
+        fitted /= np.linalg.norm(fitted, axis=1, keepdims=True)
+        books[length] = Codebook.fit(fitted, min(CENTROIDS, max(1, round((n / CELL) ** 0.5))), cosine, recall)
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    routed = classes.select("rep", "copies", "vector").repartition(parts, "rep").mapInArrow(
-        _routes(book), "i int, part int, asks boolean, rep long, copies long, vector array<double>")
+    several = classes.where(F.col("n").isin(list(books)))
+    routed = several.select("n", "rep", "copies", "vector").repartition(parts, "rep").mapInArrow(
+        _routes(books), "n int, i int, part int, asks boolean, rep long, copies long, vector array<double>")
     routed = saved(routed, "vector-routes")
-    sizes = routed.groupBy("i", "part").agg(  # at most ROW_PARTS * CENTROIDS rows
+    sizes = routed.groupBy("n", "i", "part").agg(  # at most ROW_PARTS * CENTROIDS rows for each length
         F.ceil(F.sum(F.when(F.col("asks"), 0).otherwise(1)) / STORED).cast("int").alias("ss"),
         F.ceil(F.sum(F.when(F.col("asks"), 1).otherwise(0)) / ASKING).cast("int").alias("qs")).where("ss > 0 and qs > 0")
-    cut = routed.join(F.broadcast(sizes), ["i", "part"])
+    cut = routed.join(F.broadcast(sizes), ["n", "i", "part"])
     mine = F.pmod(F.xxhash64("rep"), F.when(F.col("asks"), F.col("qs")).otherwise(F.col("ss")))
     cut = cut.withColumn("mine", mine).withColumn(
         "others", F.explode(F.sequence(F.lit(0), F.when(F.col("asks"), F.col("ss")).otherwise(F.col("qs")) - 1)))
-    cut = cut.select("i", "part", F.when(F.col("asks"), F.col("others")).otherwise(F.col("mine")).cast("int").alias("s"),
+    cut = cut.select("n", "i", "part", F.when(F.col("asks"), F.col("others")).otherwise(F.col("mine")).cast("int").alias("s"),
                      F.when(F.col("asks"), F.col("mine")).otherwise(F.col("others")).cast("int").alias("q"),
                      "asks", "rep", "copies", "vector")
-    found = saved(cut.groupBy("i", "part", "s", "q").applyInArrow(
-        _compare(book, cosine), "rep long, links long, near long"), "vector-links")
+    found = saved(cut.groupBy("n", "i", "part", "s", "q").applyInArrow(
+        _compare(books, cosine), "rep long, links long, near long"), "vector-links")
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.where("rep <> near"), "rep", "near")
     member = (right.select("id", "class").join(classes.select("class", "rep", "copies"), "class")
@@ -250,7 +255,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     member = (member.join(sums, "rep", "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
               .select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
                       F.coalesce("component", "rep").alias("component_id")))
-    other = rows.where(F.col("n") != lengths["n"]).select("id", F.lit(0).cast("long").alias("n_links"),
+    other = rows.where("n = 0").select("id", F.lit(0).cast("long").alias("n_links"),
                                                          F.col("id").alias("component_id"))
     return member.unionByName(other).select(F.col("id").alias(key), "n_links", "component_id",
                                             (F.col("id") == F.col("component_id")).alias("kept"))

@@ -244,6 +244,24 @@ def test_near_vectors_by_brute_force(spark):
     assert multi_index.near_duplicates(vectors.limit(0)).count() == 0
 
 
+def test_near_vectors_of_several_lengths(spark):
+    r = np.random.default_rng(9)
+    rows, want = [], {}
+    for length, n in ((16, 60), (9, 60), (1, 4), (2, 1)):
+        x = r.standard_normal((n, length))
+        x[1::3] = x[0::3][:len(x[1::3])] + 0.01 * r.standard_normal(x[1::3].shape)
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        near = unit @ unit.T >= 0.95
+        label = np.arange(n)
+        for _ in range(n):
+            label = np.array([label[near[i]].min() for i in range(n)])
+        want.update({len(rows) + i: (near[i].sum() - 1, len(rows) + label[i], label[i] == i) for i in range(n)})
+        rows += [(len(rows) + i, v.tolist()) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {g.vec_id: (g.n_links, g.component_id, g.kept) for g in multi_index.near_duplicates(vectors).collect()}
+    assert got == want and sum(not kept for _, _, kept in want.values()) >= 40
+
+
 def test_pieces_round_trip_and_best_path(docs, none, texts):
     got = {r.doc_id: r for r in viterbi.encode(docs.withColumn("ids", F.lit(1)), PIECES).collect()}
     assert len(got) == len(texts) and all(r.round_trip for r in got.values())
