@@ -15,7 +15,7 @@ ANCHORS = (
 ).split()
 #: Content words in a chain; at the end of a text there may be fewer.
 CHAIN = 3
-#: Sets whose sizes allow no greater Jaccard similarity are not compared and have 0.
+#: Sets whose size bands are two or more apart have no greater Jaccard similarity.
 FLOOR = 0.1
 #: Rows that follow each other in one group of the neighbour search, about, and groups at most.
 GROUP, GROUPS = 256, 4096
@@ -45,18 +45,17 @@ def fingerprint(spots: Column) -> Column:
 
 
 def length_band(spots: Column, floor: float = FLOOR) -> Column:
-    """Partition by set size: sets two or more bands apart differ by more than 1 / floor."""
+    """Partition by set size: sets two or more bands apart differ by more than 1 / floor,
+    so a search for likelier pairs may leave them out."""
     return F.floor(F.log(F.greatest(F.size(spots), F.lit(1))) / F.lit(-math.log(floor))).cast("int")
 
 
-def likeness(left: Column, right: Column, floor: float = FLOOR) -> Column:
-    """Jaccard similarity of two sets of spots; 0 without a comparison where the
-    bands of their sizes are too far apart. Two empty sets are alike, an empty
-    and another one are not."""
+def likeness(left: Column, right: Column) -> Column:
+    """Jaccard similarity of two sets of spots. Two empty sets are alike, an
+    empty and another one are not."""
     shared = F.size(F.array_intersect(left, right))
     union = F.size(left) + F.size(right) - shared
-    apart = F.abs(length_band(left, floor) - length_band(right, floor)) > 1
-    return F.when(apart, 0.0).when(union == 0, 1.0).otherwise(shared / union)
+    return F.when(union == 0, 1.0).otherwise(shared / union)
 
 
 def with_next(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -118,6 +117,6 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", floor
     return rows.select(
         F.col("key").alias(key), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("spots")).alias("fingerprint"), fingerprint(F.col("edited_spots")).alias("edited_fingerprint"),
-        likeness(F.col("spots"), F.col("edited_spots"), floor).alias("near_edited"),
-        likeness(F.col("spots"), F.col("next_spots"), floor).alias("near_next"),
+        likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"),
+        likeness(F.col("spots"), F.col("next_spots")).alias("near_next"),
         F.size("spots").alias("n_spots"), length_band(F.col("spots"), floor).alias("length_band"))

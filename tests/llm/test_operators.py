@@ -399,6 +399,15 @@ def test_fingerprints_by_brute_force(docs, none, texts):
     assert alone.near_next == 1.0
 
 
+def test_likeness_of_a_long_and_a_short_text(spark):
+    long = [f"the word{i} w{i} v{i}" for i in range(150)]
+    docs = spark.createDataFrame([(2, " ".join(long[:4])), (1, " ".join(long))], "doc_id long, text string")
+    got = {r.doc_id: r for r in spotsigs.fingerprints(docs).collect()}
+    small, large = (set(got[i].fingerprint.split(",")) for i in (2, 1))
+    assert abs(got[1].length_band - got[2].length_band) == 2 and 0 < len(small & large) < 0.1 * len(large)
+    assert got[1].near_next == got[2].near_next == pytest.approx(len(small & large) / len(small | large))
+
+
 def test_fingerprint_neighbours_over_many_groups(spark):
     ids = sorted({i * i for i in range(1, 700)})
     docs = spark.createDataFrame([(i, f"text {i}") for i in ids] + [(None, "last")], "doc_id long, text string")
