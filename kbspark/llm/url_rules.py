@@ -22,8 +22,6 @@ SUPPORT = 0.005
 CONFIDENCE = 0.9
 #: Labelled rows that the rules are mined from, at most; hash order picks them.
 SAMPLE = 20_000
-#: Tokens in a mined combination with its verdict, at most.
-LONGEST = 4
 
 BLOCK, ALLOW = "=block", "=allow"
 _AUTHORITY = r"^[\s\S]*?://([^/?#]*)"
@@ -70,14 +68,13 @@ def tokens(url: Column) -> Column:
     )))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, sample: int = SAMPLE,
-         longest: int = LONGEST) -> DataFrame:
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, sample: int = SAMPLE) -> DataFrame:
     """(antecedent, verdict, confidence, support) mined from (tokens, verdict).
 
     At most ``sample`` labelled rows, picked by hash, are mined, so that mining
     costs the same at any size. Tokens below the support cannot be part of a
-    rule and are left out first. A rule is pruned when a part of its antecedent
-    is a rule for the same verdict with no lower confidence."""
+    rule and are left out first. Rules may have any number of tokens. A rule is pruned
+    when a part of its antecedent is a rule for the same verdict with no lower confidence."""
     spark = labelled.sparkSession
     n = labelled.count()
     rows = labelled
@@ -96,25 +93,38 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence,
                      numPartitions=rows.sparkSession.sparkContext.defaultParallelism).fit(saved(kept, "url-items"))
     rules = (model.associationRules
-             .where(F.element_at("consequent", 1).isin(BLOCK, ALLOW) & (F.size("antecedent") < longest))
+             .where(F.element_at("consequent", 1).isin(BLOCK, ALLOW))
              .select(F.array_sort("antecedent").alias("antecedent"),
                      F.substring(F.element_at("consequent", 1), 2, 10).alias("verdict"), "confidence", "support"))
     rules = saved(rules, "url-rules")
-    return saved(_pruned(rules, longest), "url-pruned")
-
-
-def _pruned(rules: DataFrame, longest: int) -> DataFrame:
-    """Rules of which no part says the same at least as surely. A rule of at most
-    ``longest`` tokens has few parts; they are looked up by equality."""
-    bits = F.sequence(F.lit(1), (F.pow(2, F.size("antecedent")) - 2).cast("int"))
-    parts = (rules.where(F.size("antecedent") > 1)
-             .withColumn("__bits", F.explode(bits))
-             .select("antecedent", "verdict", "confidence",
-                     F.expr("filter(antecedent, (t, i) -> getbit(__bits, i) = 1)").alias("__part")))
-    known = rules.select(F.col("antecedent").alias("__part"), "verdict", F.col("confidence").alias("__sure"))
-    beaten = (parts.join(known, ["__part", "verdict"]).where(F.col("__sure") >= F.col("confidence"))
-              .select("antecedent", "verdict").distinct())
-    return rules.join(beaten, ["antecedent", "verdict"], "left_anti")
+    verdict = F.when(F.array_contains("items", BLOCK), BLOCK).when(F.array_contains("items", ALLOW), ALLOW)
+    combinations = saved(model.freqItemsets.select("items", verdict.alias("verdict")).where("verdict is not null")
+                         .select(F.array_sort(F.array_remove("items", F.col("verdict"))).alias("antecedent"),
+                                 F.substring("verdict", 2, 10).alias("verdict")), "url-combinations")
+    return saved(_pruned(rules, combinations), "url-pruned")
+
+
+def _pruned(rules: DataFrame, combinations: DataFrame) -> DataFrame:
+    """Rules of which no part says the same at least as surely.
+
+    Every part of a frequent combination is frequent too. So, from the shortest on, each
+    combination, be it a rule or not, learns from those one token shorter how sure the surest
+    rule among its parts is, and parts are looked up by equality."""
+    longest = combinations.agg(F.max(F.size("antecedent"))).first()[0] or 0
+    known = combinations.join(rules, ["antecedent", "verdict"], "left")
+    below, kept = None, rules.limit(0)
+    for n in range(1, longest + 1):
+        level = known.where(F.size("antecedent") == n).withColumn("part_sure", F.lit(None).cast("double"))
+        if below is not None:
+            parts = level.select("antecedent", "verdict", F.explode("antecedent").alias("token")).select(
+                "antecedent", "verdict", F.array_remove("antecedent", F.col("token")).alias("part"))
+            surest = parts.join(below, ["part", "verdict"]).groupBy("antecedent", "verdict").agg(F.max("sure").alias("part_sure"))
+            level = level.drop("part_sure").join(surest, ["antecedent", "verdict"], "left")
+        level = saved(level, "url-level")
+        below = level.select(F.col("antecedent").alias("part"), "verdict", F.greatest("confidence", "part_sure").alias("sure"))
+        kept = kept.unionByName(level.where("confidence is not null and (part_sure is null or part_sure < confidence)")
+                                .select(rules.columns))
+    return kept
 
 
 def matched(token_sets: DataFrame, rules: DataFrame) -> DataFrame:

@@ -220,6 +220,30 @@ def test_mined_rules_by_brute_force(spark):
     assert verdicts == {("a", "b"): "block"}
 
 
+def test_mined_rules_of_any_length(spark):
+    r = random.Random(11)
+    rows = []
+    for i in range(400):
+        held = sorted(t for t in "abcdef" if r.random() < (0.85 if t < "e" else 0.5))
+        rows.append((i, held, "block" if set("abcd") <= set(held) and r.random() < 0.97 or r.random() < 0.03 else "allow"))
+    labelled = spark.createDataFrame(rows, "id long, tokens array<string>, verdict string")
+    rules = url_rules.mine(labelled, 0.02, 0.9)
+    want = {}
+    for n in range(1, 7):
+        for part in itertools.combinations("abcdef", n):
+            fit = [v for _, t, v in rows if set(part) <= set(t)]
+            for verdict in ("allow", "block"):
+                k = fit.count(verdict)
+                if fit and k / 400 >= 0.02 and k / len(fit) >= 0.9:
+                    want[part, verdict] = k / len(fit)
+    kept = {(p, v): c for (p, v), c in want.items()
+            if not any(set(q) < set(p) and w == v and d >= c for (q, w), d in want.items())}
+    assert {(tuple(x.antecedent), x.verdict): x.confidence for x in rules.collect()} == pytest.approx(kept)
+    assert len(kept) < len(want) and all(len(p) >= 4 for p, v in kept if v == "block")
+    sets = spark.createDataFrame([(list("abcd"),), (list("abc"),)], "tokens array<string>")
+    assert {tuple(x.tokens): x.mined for x in url_rules.matched(sets, rules).collect()} == {tuple("abcd"): "block"}
+
+
 def test_near_vectors_by_brute_force(spark):
     r = np.random.default_rng(5)
     x = r.standard_normal((400, 16))
