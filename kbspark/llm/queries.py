@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import chat, elias_fano, mixing, multi_index, partition_join, separator_scan, spotsigs, toxicity, url_rules, viterbi
+from kbspark.llm import (chat, elias_fano, hilbert_codes, line_dedup, mixing, multi_index, partition_join, separator_scan, spotsigs,
+                         toxicity, url_rules, viterbi, whitening)
 from kbspark.llm.common import table
 
 #: Vocabulary files, as a parameter of the operators.
@@ -66,9 +67,22 @@ def op10_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
+
+
+def op12_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hilbert_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_perspectives, op2_mixing_curriculum, op3_separator_scan, op4_token_files, op5_url_association_rules, op6_inverted_multi_index,
     op7_sentencepiece_viterbi, op8_toxicity_lexicon, op9_partition_jaccard_join,
-    op10_spotsigs_fingerprints)}
+    op10_spotsigs_fingerprints, op11_line_dedup, op12_chebyshev_whitening, op13_hilbert_codes)}
 
-ORACLES = {"op1_chat_perspectives": chat.SQL}
+ORACLES = {"op1_chat_perspectives": chat.SQL, "op11_line_dedup": line_dedup.SQL, "op13_hilbert_codes": hilbert_codes.SQL}
