@@ -25,6 +25,14 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the table does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows written to the shared folder and read back. Lineage is cut, and
     later stages read files that survive the loss of executors."""
@@ -68,3 +76,16 @@ def in_batches(rows: Iterator[dict], schema: pa.Schema, size: int = 2000, of_byt
             held, total = [], 0
     if held:
         yield pa.RecordBatch.from_pylist(held, schema)
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with a bounded amount of text, one row at least."""
+    start, held = 0, 0
+    for i, value in enumerate(batch.column(column)):
+        size = len(value.as_buffer()) if value.is_valid else 0
+        if held and held + size > most:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < batch.num_rows:
+        yield batch.slice(start)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import saved
+from kbspark.llm.common import saved, unused
 from kbspark.llm.components import components
 from kbspark.llm.shingles import WIDTH, key_of, mixed, shingle_sets
 
@@ -24,6 +24,10 @@ SLACK = 1.3
 TOGETHER = 1024
 #: Sets of one leader that are compared with as many others by their sketches in one task.
 BLOCK = 2048
+#: Bytes of a sketch, per unit of difference that linked sets may have.
+FINER = 4
+#: Candidates of other components that a set offers in the first round, and times as many in each further one.
+FIRST_OFFERED, MORE_OFFERED = 4, 8
 #: Bits of an index entry that name its band.
 BAND_BITS = 7
 
@@ -142,7 +146,7 @@ class Plan:
         own = int(self.bands.of(size)[0])
         for band in (own, own - 1)[:1 + int(self.bands.also_below(size)[0])]:
             high = int(self.bands.edges[band + 1]) - 1
-            n = 2 * (int(self.bands.differ(np.array([high]))[0]) + 1)
+            n = FINER * (int(self.bands.differ(np.array([high]))[0]) + 1)
             scrambled = mixed(members ^ _U(0x2545F4914F6CDD1D))
             total = np.zeros(n, _U)
             np.add.at(total, ((scrambled >> _U(32)) * _U(n) >> _U(32)).astype(np.int64), mixed(scrambled))
@@ -210,9 +214,10 @@ def _sketches(plan: Plan, width: int):
     return run
 
 
-def _close(percent: int):
-    """Of the sets of one block and another, or of one block alone, the pairs of
-    different components that sizes and sketches allow to be linked."""
+def _close(percent: int, most: int):
+    """Of the sets of one block and another, or of one block alone, pairs of
+    different components that sizes and sketches allow to be linked: for each
+    set the first ``most``, and whether there are more."""
     def run(table: pa.Table) -> pa.Table:
         key, n, component, side = (table.column(c).to_numpy() for c in ("key", "n", "component", "side"))
         leaders, leader = table.column("leaders").to_pylist(), table.column("leader")[0].as_py()
@@ -220,34 +225,37 @@ def _close(percent: int):
         one = bool(table.column("i")[0].as_py() == table.column("j")[0].as_py())
         left = np.arange(len(key)) if one else np.flatnonzero(side == 0)
         right = left if one else np.flatnonzero(side == 1)
-        right = right[np.argsort(n[right], kind="stable")]
-        sizes, found = n[right], []
+        right = right[np.argsort(key[right], kind="stable")]
+        found = []
         for a in left:
-            low, high = np.searchsorted(sizes, [-(-n[a] * percent // 100), n[a] * 100 // percent + 1])
-            b = right[low:high]
-            b = b[component[b] != component[a]]
-            if one:
-                b = b[key[b] > key[a]]
+            b = right[np.searchsorted(key[right], key[a], side="right"):] if one else right
+            b = b[(component[b] != component[a]) & (n[b] >= -(-n[a] * percent // 100)) & (n[b] <= n[a] * 100 // percent)]
             if len(b):
-                most = (n[b] + n[a]) * (100 - percent) // (100 + percent)
-                b = b[(bits[b] != bits[a]).sum(1) <= most]
+                apart = (n[b] + n[a]) * (100 - percent) // (100 + percent)
+                b = b[(bits[b] != bits[a]).sum(1) <= apart]
                 own = set(leaders[a])  # a pair that has several leaders in common is left to the least of them
-                found.extend((min(key[a], key[k]), max(key[a], key[k])) for k in b
-                             if min(own.intersection(leaders[k])) == leader)
-        return pa.table({"leader": pa.array([x for x, _ in found], pa.int64()),
-                         "key": pa.array([y for _, y in found], pa.int64())})
+                mine = [k for k in b if min(own.intersection(leaders[k])) == leader]
+                found.extend((min(key[a], key[k]), max(key[a], key[k]), len(mine) > most) for k in mine[:most])
+        band, n_found = table.column("band")[0].as_py(), len(found)
+        return pa.table({"leader": pa.array([x for x, _, _ in found], pa.int64()), "key": pa.array([y for _, y, _ in found], pa.int64()),
+                         "more": pa.array([z for _, _, z in found], pa.bool_()),
+                         "of": pa.array([leader] * n_found, pa.int64()), "band": pa.array([band] * n_found, pa.int64())})
 
     return run
 
 
-def _open_pairs(pairs: DataFrame, sketches: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of sets that share an entry, hence its leader, lie in
-    different components and may be linked. Large groups of a leader are cut
+def _members(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Sets in the groups of their leaders, with their sketches and all their leaders."""
+    leaders = pairs.groupBy("key", "band").agg(F.collect_list("leader").alias("leaders"))  # fewer than a set's entries
+    return saved(pairs.join(sketches, ["key", "band"]).join(leaders, ["key", "band"]), "leader-members")
+
+
+def _open_pairs(members: DataFrame, joined: DataFrame, percent: int, most: int) -> DataFrame:
+    """(leader, key, more, of, band) for sets that share an entry, hence its leader, lie in
+    different components and may be linked, ``most`` per set and pair of blocks. Large groups of a leader are cut
     into blocks, and each pair of blocks is a task's work; tasks return what passes."""
-    members = (pairs.join(sketches, ["key", "band"]).join(joined.withColumnRenamed("id", "key"), "key", "left")
+    members = (members.join(joined.withColumnRenamed("id", "key"), "key", "left")
                .withColumn("component", F.coalesce("component", "key")))
-    leaders = pairs.groupBy("key", "band").agg(F.collect_list("leader").alias("leaders"))  # fewer than a set's entries
-    members = saved(members.join(leaders, ["key", "band"]), "leader-members")
     mixed_groups = members.groupBy("leader", "band").agg(
         F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("rows")).where("a < b")
     cut = members.join(mixed_groups.select("leader", "band", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")),
@@ -257,7 +265,39 @@ def _open_pairs(pairs: DataFrame, sketches: DataFrame, joined: DataFrame, percen
     cut = cut.select("leader", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
                      F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"),
                      "key", "n", "component", "sketch", "leaders")
-    return cut.groupBy("leader", "band", "i", "j").applyInArrow(_close(percent), "leader long, key long").distinct()
+    return cut.groupBy("leader", "band", "i", "j").applyInArrow(
+        _close(percent, most), "leader long, key long, more boolean, of long, band long")
+
+
+def merged(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after further links (leader, key): only the components that the links touch are joined anew."""
+    ends = links.select(F.col("leader").alias("id")).union(links.select("key")).distinct()
+    names = joined.unionByName(ends.join(joined, "id", "left_anti").withColumn("component", F.col("id")))
+    names = saved(names, "names")
+    a, b = names.toDF("leader", "a"), names.toDF("key", "b")
+    touched = components(links.join(a, "leader").join(b, "key"), "a", "b").toDF("component", "new")
+    return saved(names.join(touched, "component", "left").select("id", F.coalesce("new", "component").alias("component")), "joined")
+
+
+def _link_open(members: DataFrame, texts: DataFrame, joined: DataFrame, done: DataFrame, percent: int, width: int) -> DataFrame:
+    """The components after all links within the groups of leaders.
+
+    In each round every set offers its first candidates of other components for
+    verification, so a round's pairs are linear in the sets; what they link leaves together.
+    Where links are dense one or two rounds join a group. Where candidates fail, each round
+    takes more of them, until every candidate left has been verified. A group none of whose sets has more leaves."""
+    most = FIRST_OFFERED
+    while True:
+        met = saved(_open_pairs(members, joined, percent, most), "open-pairs")
+        late = _verified(met.select("leader", "key").distinct().join(done, ["leader", "key"], "left_anti"), texts, percent, width)
+        linked = late.where("linked").select("leader", "key")
+        if not linked.isEmpty():
+            joined = merged(joined, linked)
+        again = met.where("more").select(F.col("of").alias("leader"), "band").distinct()
+        if again.isEmpty():
+            return joined
+        members = saved(members.join(again, ["leader", "band"], "left_semi"), "members-left")
+        done, most = done.unionByName(late), most * MORE_OFFERED
 
 
 def _verify(width: int):
@@ -310,7 +350,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     share (see ``Plan``). Classes that share an entry meet a leader of that entry and are
     verified exactly. Other classes that share an entry have its leader in common;
     those that no chain of links has joined yet are compared within that leader's group by
-    sketches, which bound their difference from below, and verified where these allow a link.
+    sketches, which bound their difference from below, and verified where these allow a link, round by round.
 
     Missing, empty and wordless texts have no shingles and link with nothing.
     Rows without a key are components of their own with a null component_id.
@@ -349,10 +389,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     linked = done.where("linked").select("leader", "key").unionByName(of_one_id)
     joined = saved(components(linked, "leader", "key"), "joined")
     sketches = texts.mapInArrow(_sketches(plan, width), "key long, band long, n long, sketch binary")
-    met = saved(_open_pairs(pairs, sketches, joined, percent), "open-pairs")
-    late = _verified(met.join(done, ["leader", "key"], "left_anti"), texts, percent, width)
-    linked = linked.unionByName(late.where("linked").select("leader", "key"))
-    joined = saved(components(linked, "leader", "key"), "joined")
+    joined = _link_open(_members(pairs, sketches), texts, joined, done, percent, width)
 
     named = classes.join(joined.withColumnRenamed("id", "key"), "key", "left").select(
         "key", "rep", F.coalesce("component", "key").alias("component"))
@@ -368,7 +405,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     """The rows of ``docs`` without those that are linked to a document of a
     smaller key, and one row of each key. Rows without a key stay."""
     found = jaccard_components(docs, key, text, percent, width)
-    linked = found.where(F.col("component_id") < F.col(key)).select(F.col(key).alias("__linked")).distinct()
-    turn = F.row_number().over(Window.partitionBy(key).orderBy(text))
-    rows = docs.join(saved(linked, "linked"), F.col(key) == F.col("__linked"), "left_anti")
-    return rows.withColumn("__turn", turn).where((F.col("__turn") == 1) | F.col(key).isNull()).drop("__turn")
+    linked, turn = unused(docs, "linked"), unused(docs, "turn")
+    dropped = saved(found.where(F.col("component_id") < F.col(key)).select(F.col(key).alias(linked)).distinct(), "linked")
+    keyed = docs.where(F.col(key).isNotNull()).join(dropped, F.col(key) == F.col(linked), "left_anti")
+    keyed = keyed.withColumn(turn, F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text), text)))
+    return keyed.where(F.col(turn) == 1).drop(turn).unionByName(docs.where(F.col(key).isNull()))
