@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +13,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import opened, saved, shared_folder, write_once
+from kbspark.llm.common import opened, saved, shared_folder, slices, write_once
 from kbspark.llm.tokens import byte_bpe
 
 #: Id after each document.
 END = 2
 #: Every so many ones of the upper half, the select directory notes a position.
 SAMPLE = 512
-MAGIC = b"EFTOK001"
+MAGIC = b"EFTOK002"
+#: Bytes of ids in a file, about; positions in its bit rows fit 32 bits.
+FILE_BYTES = 64 << 20
+#: Boundaries that a reader decodes at once.
+RUN = 4096
 #: At the end of a file: bytes of an id, rows, rows without doc_id, least doc_id,
 #: ids, and the bytes of the coded boundaries and doc_ids.
 FOOTER = "<QQQqQQQ"
@@ -36,7 +41,7 @@ class EliasFano:
     def __init__(self, n: int, low_bits: int, lower: np.ndarray, upper: np.ndarray, directory: np.ndarray | None = None):
         self.n, self.low_bits, self.lower, self.upper = n, low_bits, lower, upper
         if directory is None:
-            directory = self._ones()[::SAMPLE].astype("<u8")
+            directory = self._ones()[::SAMPLE].astype("<u4")
         self.directory = directory
 
     @classmethod
@@ -65,9 +70,20 @@ class EliasFano:
         weights = np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64)
         return bits.reshape(-1, self.low_bits).astype(np.uint64) @ weights
 
+    def run(self, start: int, stop: int) -> np.ndarray:
+        """The numbers from the ``start``-th up to the ``stop``-th one, found through the directory; memory goes with the run."""
+        if start >= stop:
+            return np.zeros(0, np.uint64)
+        first = start // SAMPLE
+        last = -(-stop // SAMPLE)
+        byte = int(self.directory[first]) // 8
+        end = int(self.directory[last]) // 8 + 1 if last < len(self.directory) else len(self.upper)
+        ones = np.flatnonzero(np.unpackbits(self.upper[byte:end], bitorder="little")) + byte * 8
+        ones = ones[ones >= int(self.directory[first])][start - first * SAMPLE:stop - first * SAMPLE]
+        return ((ones - np.arange(start, stop)).astype(np.uint64) << np.uint64(self.low_bits)) | self._lows(start, stop)
+
     def values(self) -> np.ndarray:
-        ones = self._ones().astype(np.uint64) - np.arange(self.n, dtype=np.uint64)
-        return (ones << np.uint64(self.low_bits)) | self._lows(0, self.n)
+        return self.run(0, self.n)
 
     def select(self, i: int) -> int:
         """The i-th number, from the directory and a few bytes of the bit row."""
@@ -88,45 +104,64 @@ class EliasFano:
 
     def to_bytes(self) -> bytes:
         head = struct.pack(PART, self.n, self.low_bits, len(self.lower), len(self.upper), len(self.directory))
-        return head + self.lower.tobytes() + self.upper.tobytes() + self.directory.astype("<u8").tobytes()
+        return head + self.lower.tobytes() + self.upper.tobytes() + self.directory.astype("<u4").tobytes()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> EliasFano:
         n, low, a, b, c = struct.unpack_from(PART, data)
         at = struct.calcsize(PART)
         return cls(n, low, np.frombuffer(data, np.uint8, a, at), np.frombuffer(data, np.uint8, b, at + a),
-                   np.frombuffer(data, "<u8", c, at + a + b))
+                   np.frombuffer(data, "<u4", c, at + a + b))
+
+
+def packed(docs: DataFrame, tokenizer: str, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, tie, ids): the ids of every whole text with ``end`` after them, as little-endian numbers of the tokenizer's width."""
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tie"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = byte_bpe(tokenizer)
+        mark = np.array([end], encoder.dtype).tobytes()
+        for batch in batches:
+            for part in slices(batch, 2):
+                ids, bounds = encoder.encode_all(part.column(2))
+                data, at = ids.tobytes(), (bounds * encoder.dtype.itemsize).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([data[a:b] + mark for a, b in zip(at, at[1:])], pa.binary())],
+                    names=["key", "tie", "ids"])
 
+    return rows.mapInArrow(run, "key long, tie long, ids binary")
 
-def write(docs: DataFrame, tokenizer: str, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
+
+def write(docs: DataFrame, tokenizer: str, end: int = END, key: str = "doc_id", text: str = "text",
+          file_bytes: int = FILE_BYTES) -> DataFrame:
     """Ids of every whole text, each followed by ``end``, in files of ascending key.
 
     Returns (shard, file, n_docs, n_tokens), one row per file; files in the
     order of ``shard`` hold the rows in ascending key, missing keys first, rows
-    of one key by text. A file is the ids as little-endian numbers, then the
-    ends of its documents and their keys, Elias-Fano coded, then a footer. Ids
-    go to the file as they are made; a task holds one batch of texts and 16
-    bytes per document. Missing texts are empty."""
+    of one key by a hash of the text. A file is the ids as little-endian numbers, then the
+    ends of its documents and their keys, Elias-Fano coded, then a footer. Texts are encoded where they
+    are read; packed ids are range-sorted, and files are cut so that each has about ``file_bytes``. A task holds one batch of ids and 16
+    bytes per document of its file. Missing texts are empty, texts of any length are encoded whole, repeated rows each have their place,
+    other columns are ignored, and an empty table gives no files."""
     spark = docs.sparkSession
     folder = shared_folder(spark, "token-files")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(n, F.col("key").asc_nulls_first(), F.xxhash64("text"))
-    rows = rows.sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64("text"))
+    wide = byte_bpe(tokenizer).dtype.itemsize
+    rows = saved(packed(docs, tokenizer, end, key, text), "packed-ids")
+    total = rows.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    n = max(-(-total // file_bytes), 1)
+    rows = rows.repartitionByRange(n, F.col("key").asc_nulls_first(), F.col("tie"))
+    rows = rows.sortWithinPartitions(F.col("key").asc_nulls_first(), F.col("tie"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = byte_bpe(tokenizer)
-        mark = np.array([end], encoder.dtype).tobytes()
-        wide = encoder.dtype.itemsize
         stream, uri, total, no_key = None, None, 0, 0
         ends, keys = [], []
-        for batch in batches:
+        for batch in filter(len, batches):
             if stream is None:
                 stream, uri = write_once(folder, f"shard-{TaskContext.get().partitionId():05d}")
                 stream.write(MAGIC)
             sizes = np.empty(batch.num_rows, np.int64)
             for i, value in enumerate(batch.column(1)):
-                data = encoder.encode(value.as_py()) + mark
+                data = value.as_buffer()
                 stream.write(data)
                 sizes[i] = len(data) // wide
             ends.append(total + np.cumsum(sizes))
@@ -137,7 +172,7 @@ def write(docs: DataFrame, tokenizer: str, end: int = END, key: str = "doc_id",
             return
         ends, keys = np.concatenate(ends), np.concatenate(keys)
         least = int(keys[0]) if len(keys) else 0
-        bounds, ids = EliasFano.of(ends).to_bytes(), EliasFano.of((keys - least).astype(np.uint64)).to_bytes()
+        bounds, ids = EliasFano.of(ends).to_bytes(), EliasFano.of(keys.astype(np.uint64) - np.uint64(least % 2**64)).to_bytes()
         stream.write(bounds + ids + struct.pack(FOOTER, wide, len(ends), no_key, least, total, len(bounds), len(ids)))
         stream.close()
         yield pa.RecordBatch.from_arrays(
@@ -145,7 +180,7 @@ def write(docs: DataFrame, tokenizer: str, end: int = END, key: str = "doc_id",
              pa.array([len(ends)], pa.int64()), pa.array([total], pa.int64())],
             names=["shard", "file", "n_docs", "n_tokens"])
 
-    return saved(rows.mapInArrow(run, "shard long, file string, n_docs long, n_tokens long"), "token-manifest")
+    return saved(rows.select("key", "ids").mapInArrow(run, "shard long, file string, n_docs long, n_tokens long"), "token-manifest")
 
 
 class TokenFile:
@@ -168,40 +203,43 @@ class TokenFile:
     def document(self, i: int) -> np.ndarray:
         return self.ids(self.ends.select(i - 1) if i else 0, self.ends.select(i))
 
+    def key(self, start: int, stop: int) -> list[int | None]:
+        missing = [None] * max(min(stop, self.no_key) - start, 0)
+        numbers = self.keys.run(max(start - self.no_key, 0), max(stop - self.no_key, 0)) + np.uint64(self.least % 2**64)
+        return missing + numbers.astype(np.int64).tolist()
+
     def documents(self, at_once: int = 1 << 21) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(key, start, ids) in file order, about ``at_once`` ids in memory."""
-        ends = self.ends.values().astype(np.int64)
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        keys = [None] * self.no_key + (self.keys.values().astype(np.int64) + self.least).tolist()
-        i = 0
-        while i < self.n:
-            j = max(int(np.searchsorted(ends, starts[i] + at_once, side="right")), i + 1)
-            block, base = self.ids(int(starts[i]), int(ends[j - 1])), int(starts[i])
-            for k in range(i, j):
-                yield keys[k], int(starts[k]), block[starts[k] - base:ends[k] - base]
-            i = j
+        """(key, start, ids) in file order. Boundaries are decoded in runs, and
+        about ``at_once`` ids, or one document, are in memory."""
+        before = 0
+        for first in range(0, self.n, RUN):
+            last = min(first + RUN, self.n)
+            ends = self.ends.run(first, last).astype(np.int64)
+            starts, keys, i = np.concatenate([[before], ends[:-1]]), self.key(first, last), 0
+            while i < len(ends):
+                j = max(int(np.searchsorted(ends, starts[i] + at_once, side="right")), i + 1)
+                block, base = self.ids(int(starts[i]), int(ends[j - 1])), int(starts[i])
+                for k in range(i, j):
+                    yield keys[k], int(starts[k]), block[starts[k] - base:ends[k] - base]
+                i = j
+            before = int(ends[-1])
 
 
 def read(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, start, n_tokens, ids_crc32) of every document, read back from its
     file; start counts the ids of all documents before it, over all files."""
-    n = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # a row per file
     files = manifest.select("shard", "file", F.coalesce(before, F.lit(0)).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, starts, counts, sums = [], [], [], []
-                for doc, start, ids in TokenFile(row["file"]).documents():
-                    keys.append(doc)
-                    starts.append(row["first"] + start)
-                    counts.append(len(ids))
-                    sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                for i in range(0, len(keys), 10_000):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x[i:i + 10_000], pa.int64()) for x in (keys, starts, counts, sums)],
-                        names=["key", "start", "n_tokens", "ids_crc32"])
+                found = ((doc, row["first"] + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
+                         for doc, start, ids in TokenFile(row["file"]).documents())
+                while some := list(islice(found, RUN)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*some)],
+                                                     names=["key", "start", "n_tokens", "ids_crc32"])
 
+    n = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     out = files.repartition(n, "shard").mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long")
     return out.withColumnRenamed("key", key)

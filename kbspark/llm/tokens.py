@@ -7,6 +7,8 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct pieces of text in each of the two generations that a task remembers.
 REMEMBERED = 250_000
@@ -18,6 +20,7 @@ _DIVIDE_PLAIN = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
 #: White space before a space: there a text is not cut at the space.
 _RUN = re.compile(r"\s |^ ")
+_RUNS = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
 #: Characters whose classes are the same in every Unicode version and library.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ſ]*")
 
@@ -104,6 +107,36 @@ class ByteBPE:
         return first + b"".join([known[p] for p in pieces[1:]])
 
 
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all whole texts one after the other, where each begins and the last ends).
+
+        Texts are cut as in ``encode``; each distinct cut of the batch is encoded once, and ids are gathered by number."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        strings = texts.to_pylist()
+        whole = [self.special is not None and self.special.search(t) is not None for t in strings]
+        uncut = [w or t[:1] == " " or any(r in t for r in _RUNS) for t, w in zip(strings, whole)]
+        cuts = pc.split_pattern(pc.if_else(pa.array(uncut, pa.bool_()), pa.scalar("", pa.large_string()), texts), " ")
+        named = cuts.flatten().dictionary_encode()
+        words, which = named.dictionary.to_pylist(), named.indices.to_numpy().astype(np.int64)
+        begins = cuts.offsets.to_numpy().astype(np.int64)
+        openings: dict[tuple[str, bool], int] = {}  # of texts: without a space before
+        for i, (at, text) in enumerate(zip(begins[:-1].tolist(), strings)):
+            cut = text if uncut[i] else words[which[at]]
+            which[at] = len(words) + openings.setdefault((cut, whole[i]), len(openings))
+        plain, known = _PLAIN.fullmatch("".join(words)), self.word
+        if plain:
+            data = [b"".join([known[w] for w in _DIVIDE_PLAIN.findall(" " + c)]) for c in words]
+        else:
+            data = [self._divide(" " + c) for c in words]
+        data += [self._library(c) if w else self._divide(c) for c, w in openings]
+        sizes = np.fromiter(map(len, data), np.int64, len(data)) // self.dtype.itemsize
+        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)])),
+                                              pa.array(np.frombuffer(b"".join(data), self.dtype)))
+        ids = lists.take(pa.array(which)).flatten().to_numpy()
+        upto = np.concatenate([[0], np.cumsum(sizes[which])])
+        return ids, upto[begins]
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte: printable ones for themselves, the
     others, in order, from U+0100 on."""
