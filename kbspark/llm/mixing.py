@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import n_words, saved
+from kbspark.llm.common import n_words, saved, unused
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -61,8 +61,7 @@ def demand_inverse(share: Column, start: Column, end: Column) -> Column:
     return F.least(F.greatest(F.when(due > 0, root).otherwise(0.0), F.lit(0.0)), F.lit(1.0))
 
 
-def curriculum(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, passes: int = PASSES,
-               schedules: Sequence[tuple[float, float]] = SCHEDULES, seed: int = 17) -> DataFrame:
+def curriculum(docs: DataFrame, **options) -> DataFrame:
     """Which documents a mix takes, and where in training each pass over one lies.
 
     Reads doc_id, text, source; other columns are ignored. One row per row of
@@ -77,9 +76,23 @@ def curriculum(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: floa
     is cut into slices by hash, which are summed first, so a source that holds
     most rows is spread over many tasks. A missing source is a source of its
     own, a missing or empty text has size 0 and is not taken; repeated rows are
-    documents of their own. An empty table gives no rows."""
+    documents of their own. Rows without doc_id are ordered by their texts. Texts of any length count whole. An
+    empty table gives no rows. Options are those of ``_plan``."""
+    return _in_order(_plan(docs, **options).drop("text_hash"))
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    key = F.coalesce(F.try_element_at("takes", F.lit(1))["position"], F.lit(2.0))
+    return rows.repartitionByRange(key.asc(), F.col("doc_id").asc()).sortWithinPartitions(key.asc(), F.col("doc_id").asc())
+
+
+def _plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, passes: int = PASSES,
+          schedules: Sequence[tuple[float, float]] = SCHEDULES, seed: int = 17) -> DataFrame:
+    """The rows of ``curriculum``, in no order, with a hash of each text."""
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"),
-                        F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("place"))
+                        F.xxhash64("text").alias("text_hash"),
+                        F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id"), F.lit(seed)))
+                        .otherwise(F.xxhash64(F.col("text"), F.lit(seed))).alias("place"))
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     per_source = saved(per_source, "mix-sizes")
     rows = per_source.agg(F.max("rows")).first()[0] or 0
@@ -87,7 +100,7 @@ def curriculum(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: floa
     targets = source_targets(per_source.drop("rows"), weights, budget, passes)
     placed = sized.withColumn("slice", F.pmod(F.shiftright("place", 20), F.lit(slices)))
 
-    in_slice = Window.partitionBy("source", "slice").orderBy("place", "doc_id", "size")
+    in_slice = Window.partitionBy("source", "slice").orderBy("place", "doc_id", "size", "text_hash")
     sums = placed.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     before = F.sum("slice_size").over(Window.partitionBy("source").orderBy("slice")) - F.col("slice_size")
     sums = sums.withColumn("before", before)
@@ -109,22 +122,21 @@ def curriculum(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: floa
         takes.append(F.when(words > 0, F.struct(demand_inverse(share, start, end).alias("position"), words.alias("words"))))
     out = joined.withColumn("takes", F.array_compact(F.array(*takes)))
     taken = F.aggregate("takes", F.lit(0).cast("long"), lambda n, t: n + t["words"])
-    out = out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "takes")
-    key = F.coalesce(F.try_element_at("takes", F.lit(1))["position"], F.lit(2.0))
-    return out.repartitionByRange(key.asc(), F.col("doc_id").asc()).sortWithinPartitions(key.asc(), F.col("doc_id").asc())
+    return out.select("doc_id", "source", "text_hash", "size", "source_size", "target", taken.alias("taken"), "takes")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents in training order, each as often as the mix takes at least
     half of its words: whole rows of ``docs``, range-sorted by position.
 
-    The positions are joined to the rows by doc_id; where several rows share
-    one, each row enters as often as the first of them."""
-    plan = curriculum(docs, **options)
-    half = F.filter("takes", lambda t: t["words"] * 2 >= F.col("size"))
-    plan = (plan.withColumn("__takes", half).where(F.size("__takes") > 0)
-            .groupBy("doc_id").agg(F.min("__takes").alias("__takes")))
-    rows = docs.join(plan.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    rows = rows.withColumn("__at", F.explode(F.col("__takes")["position"]))
-    rows = rows.repartitionByRange(F.col("__at"), F.col("doc_id")).sortWithinPartitions("__at", "doc_id")
+    The positions are joined to the rows by doc_id, source and text, missing ones included; rows equal
+    in these three enter as often as the first of them. Missing and empty texts have no words and do not enter.
+    Texts of any length stay whole, columns of any name stay. An empty table gives no rows."""
+    same, takes, at = ("doc_id", "source", "text_hash"), unused(docs, "takes"), unused(docs, "at")
+    names = [unused(docs, f"plan_{c}") for c in same]
+    plan = _plan(docs, **options).withColumn("takes", F.filter("takes", lambda t: t["words"] * 2 >= F.col("size")))
+    plan = plan.where(F.size("takes") > 0).groupBy(*same).agg(F.min("takes").alias("takes")).toDF(*names, takes)
+    met = [x.eqNullSafe(F.col(n)) for x, n in zip((F.col("doc_id"), F.col("source"), F.xxhash64("text")), names)]
+    rows = docs.join(plan, met[0] & met[1] & met[2]).withColumn(at, F.explode(F.col(takes)["position"]))
+    rows = rows.repartitionByRange(F.col(at), F.col("doc_id")).sortWithinPartitions(at, "doc_id")
     return rows.select(*docs.columns)

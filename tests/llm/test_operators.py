@@ -5,9 +5,11 @@ import hashlib
 import itertools
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from kbspark.llm import (chat, elias_fano, mixing, multi_index, partition_join, separator_scan, spotsigs, toxicity,
                          url_rules, viterbi)
 from kbspark.llm.components import components
+from kbspark.llm.tokens import byte_bpe
 from kbspark.llm.queries import BYTE_BPE, PIECES, QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -165,6 +168,40 @@ def test_elias_fano_numbers():
         assert all(coded.select(int(i)) == values[i] for i in r.integers(0, max(n, 1), min(n, 40)))
 
 
+def test_runs_of_elias_fano_numbers():
+    r = np.random.default_rng(4)
+    for n, high in itertools.product((1, 511, 512, 513, 3000), (1, 700, 10**9)):
+        values = np.sort(r.integers(0, high, n))
+        coded = elias_fano.EliasFano.from_bytes(elias_fano.EliasFano.of(values).to_bytes())
+        for _ in range(30):
+            a, b = sorted(r.integers(0, n + 1, 2).tolist())
+            assert (coded.run(a, b) == values[a:b]).all()
+    assert coded.directory.dtype.itemsize == 4
+
+
+def test_byte_ids_equal_the_library_on_random_texts():
+    """All of Latin-1 and Latin Extended-A, apostrophes, tabs, line ends, other scripts and special tokens, cut and whole."""
+    r, encode, own = random.Random(16), library(), byte_bpe(BYTE_BPE)
+    plain = [chr(c) for c in range(1, 0x180)] + list("'\t\n\r    ") * 8 + ["'s", "'ll", " 're"]
+    pool = plain + ["<|endoftext|>", "中", "　", "  ", "Ω", "😀"]
+    samples = ["".join(r.choice(plain if i % 2 else pool) for _ in range(r.choice([1, 3, 20, 200]))) for i in range(600)]
+    samples += ["", None, " a", "a ", " "]
+    for some in (samples, [t for i, t in enumerate(samples) if i % 2]):
+        ids, bounds = own.encode_all(pa.array(some))
+        for text, a, b in zip(some, bounds, bounds[1:]):
+            assert ids[a:b].tolist() == encode(text), text
+            assert np.frombuffer(own.encode(text or ""), ids.dtype).tolist() == encode(text)
+
+
+def test_token_files_of_bounded_size(docs, texts):
+    """Files are cut by bytes, and what they hold does not depend on it."""
+    whole = elias_fano.write(docs, BYTE_BPE)
+    small = elias_fano.write(docs, BYTE_BPE, file_bytes=20_000)
+    assert whole.count() == 1 and small.count() > 4
+    of = [sorted(map(tuple, elias_fano.read(m).collect()), key=lambda x: x[1]) for m in (whole, small)]
+    assert of[0] == of[1] and len(of[0]) == len(texts)
+
+
 def test_token_files(docs, none, texts):
     encode = library()
     extra = docs.where("doc_id = 6").withColumn("doc_id", F.lit(None).cast("long"))
@@ -297,28 +334,79 @@ def test_pieces_round_trip_and_best_path(docs, none, texts):
 
 def test_viterbi_against_the_whole_lattice():
     encoder = viterbi.encoder(PIECES)
-    trie, unknown = encoder.pieces.trie, encoder.pieces.unknown
-    score = {v[0]: v[1] for v in trie.values() if v}
+    pieces, unknown = encoder.pieces.score, encoder.pieces.unknown
+    score = dict(pieces.values())
 
     def best(text):
         sums = [0.0] + [-1e18] * len(text)
         for i in range(len(text)):
             for j in range(i + 1, min(len(text), i + encoder.pieces.longest) + 1):
-                known = trie.get(text[i:j]) or ((-1, unknown) if j == i + 1 else None)
+                known = pieces.get(text[i:j]) or ((-1, unknown) if j == i + 1 else None)
                 if known:
                     sums[j] = max(sums[j], sums[i] + known[1])
         return sums[-1]
 
     r = random.Random(6)
     samples = ["".join(r.choice("abcthe  \né中Ω.,12") for _ in range(r.randrange(1, 60))) for _ in range(200)]
-    samples.append("".join(r.choice("abcdethe") for _ in range(5000)))  # no place to cut: the window moves
-    for text in samples:
-        ids = encoder.encode(text).tolist()
+    samples += ["".join(r.choice("abcdethe") for _ in range(n)) for n in (5000, 300, 129, 128)]  # no place to cut: the window moves
+    before = encoder.commits
+    values, bounds = encoder.encode_all(samples)
+    assert encoder.commits - before > 10
+    for text, a, b in zip(samples, bounds, bounds[1:]):
+        ids = values[a:b].tolist()
+        assert ids == encoder.encode(text).tolist()  # alone as beside others
         rest = b"".join(encoder.pieces.bytes[i] for i in ids if i not in score).decode()
         total = sum(score[i] for i in ids if i in score) + unknown * len(rest)
         assert encoder.decode(ids) == text
         assert total == pytest.approx(best("▁" + text.replace(" ", "▁")))
-    assert len(list(encoder.stream("▁" + samples[-1]))) > 10
+
+
+def unigram_model(pieces, byte_pieces):
+    """A SentencePiece model file of the given (piece, score), written field by field; nothing is trained."""
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def text(field, data):
+        return varint(field << 3 | 2) + varint(len(data)) + data
+
+    def number(field, n):
+        return varint(field << 3) + varint(n)
+
+    def piece(name, score, kind):
+        return text(1, text(1, name.encode()) + varint(2 << 3 | 5) + struct.pack("<f", score) + number(3, kind))
+
+    out = piece("<unk>", 0.0, 2) + piece("<s>", 0.0, 3) + piece("</s>", 0.0, 3)
+    out += b"".join(piece(f"<0x{b:02X}>", 0.0, 6) for b in range(256)) if byte_pieces else b""
+    out += b"".join(piece(name, score, 1) for name, score in pieces)
+    out += text(2, number(3, 1) + number(35, int(byte_pieces)))  # unigram, bytes for what is unknown
+    return out + text(3, text(1, b"identity") + number(3, 1) + number(4, 0) + number(5, 1))
+
+
+@pytest.mark.parametrize("byte_pieces", [True, False])
+def test_ids_of_a_unigram_vocabulary_equal_the_library(tmp_path, byte_pieces):
+    from sentencepiece import SentencePieceProcessor
+
+    r = random.Random(15)
+    letters = "abcde \n é中"
+    names = {c for c in "abcde▁\né"} | {"".join(r.choice("abcde▁é") for _ in range(r.randrange(2, 7))) for _ in range(400)}
+    for across in (True, False):  # with pieces across a space, and without
+        some = sorted(n for n in names if across or "▁" not in n.lstrip("▁"))
+        path = tmp_path / f"unigram-{across}.model"
+        path.write_bytes(unigram_model([(n, -r.uniform(1, 12)) for n in some], byte_pieces))
+        sp, encoder = SentencePieceProcessor(model_file=str(path)), viterbi.Encoder(str(path))
+        assert encoder.pieces.meets_at_space != across
+        samples = ["".join(r.choice(letters) for _ in range(r.choice([1, 2, 7, 40, 200, 900]))) for _ in range(150)]
+        samples += ["", "中中a中", " ", "  a  ", "abcde" * 300]
+        values, bounds = encoder.encode_all([None, *samples])
+        equal = 0
+        for text, a, b in zip(samples, bounds[1:], bounds[2:]):
+            got, want = values[a:b].tolist(), sp.encode(text)
+            assert sorted(got) == sorted(want), text  # the same pieces; "a aa" and "aa a" cost the same
+            equal += got == want
+        assert equal >= len(samples) - 8 and encoder.commits > 0
 
 
 def test_toxicity(spark):
@@ -383,6 +471,34 @@ def test_jaccard_join_by_brute_force(docs, none, texts, spark):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in found if x.doc_id is not None} == brute_components(rows)
 
 
+def test_jaccard_join_of_a_large_group_of_near_copies(spark, monkeypatch):
+    """2,500 edits of one text, most too far from its leader for a link but linked in chains: verified
+    pairs stay linear in the group, and the components are those of brute force over sets of the edited places."""
+    r = random.Random(12)
+    base = words(31, 150)
+    edits = [sorted(r.sample(range(0, 150, 5), r.randrange(0, 4))) for _ in range(2500)]
+    rows = [(i, " ".join(f"{w}x{r.randrange(10**9)}" if k in e else w for k, w in enumerate(base))) for i, e in enumerate(edits)]
+    verified = []
+    plain = partition_join._verified
+    monkeypatch.setattr(partition_join, "_verified", lambda pairs, *a: (verified.append(pairs.count()), plain(pairs, *a))[1])
+    got = {x.doc_id: x.component_id for x in partition_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [{hash(tuple(t.lower().split()[j:j + 5])) for j in range(146)} for _, t in rows]
+    label, queue = {}, []
+    for i in range(len(sets)):  # breadth first, each text against those not reached yet
+        if i in label:
+            continue
+        label[i], queue = i, [i]
+        while queue:
+            a = queue.pop()
+            for b in [b for b in range(len(sets)) if b not in label]:
+                both = len(sets[a] & sets[b])
+                if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                    label[b] = i
+                    queue.append(b)
+    assert got == label and len(set(label.values())) < 1000
+    assert sum(verified) < 40 * len(rows)
+
+
 def test_jaccard_join_of_ids_with_several_texts(spark):
     a, b = ["aa", *words(21, 60)], ["zz", *words(22, 60)]
     rows = [(1, " ".join(b)), (1, " ".join(a)), (1, ""), (2, " ".join([*b, "more"])), (4, None), (4, " ".join([*a, "more"])),
