@@ -40,7 +40,7 @@ def finished(spark, stream, name):
 
 @query("rate_limit_stream", U.ORACLES["rate_limit_sliding_log"])
 def rate_limit_stream(spark, sf_dir):
-    answers = jobs.limited(log_stream(spark, sf_dir), ("endpoint",), U.RATE, U.RATE_SECONDS)
+    answers = jobs.limited(log_stream(spark, sf_dir), ("api_key", "endpoint"), U.RATE, U.KEY_RATE_SECONDS)
     return finished(spark, answers, "rate-limit")
 
 

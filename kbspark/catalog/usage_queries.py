@@ -172,6 +172,7 @@ def log_replay(name: str, source: str, key: str, limit: str, window_us: int) ->
 RATE = {"api_retrieve": 2, "api_predict": 2, "api_ingest_kb": 1, "api_feedback": 3}
 ABUSE = {"api_retrieve": 2, "api_predict": 1, "api_ingest_kb": 1, "api_feedback": 1}
 RATE_SECONDS, ABUSE_SECONDS = 3600, 86_400
+KEY_RATE_SECONDS = 21_600  # one key asks for one endpoint a few times a day
 
 
 def limit_sql(table: dict) -> str:
@@ -179,11 +180,9 @@ def limit_sql(table: dict) -> str:
 
 
 @query("rate_limit_sliding_log", sql("SELECT event_id, accepted FROM steps WHERE rn > 0", recursive=True,
-       **log_replay("steps", "request_log", "endpoint", limit_sql(RATE), RATE_SECONDS * 1_000_000)))
+       **log_replay("steps", "request_log", "api_key || endpoint", limit_sql(RATE), KEY_RATE_SECONDS * 1_000_000)))
 def rate_limit_sliding_log(spark, sf_dir):
-    log = X.request_log(spark, sf_dir)
-    lim = limits.limit_of(F.col("endpoint"), RATE)
-    return limits.sliding_log(log, ("endpoint",), lim, RATE_SECONDS).select("event_id", "accepted")
+    return limits.rate_limit(X.request_log(spark, sf_dir), RATE, KEY_RATE_SECONDS).select("event_id", "accepted")
 
 
 @query("ip_abuse_sliding_log", sql("SELECT event_id, accepted FROM steps WHERE rn > 0", recursive=True,
