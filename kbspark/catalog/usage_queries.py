@@ -147,12 +147,8 @@ def monitoring_report(spark, sf_dir):
     (SELECT tenant_id, month, string_agg(message, '; ' ORDER BY rule) AS alerts FROM report GROUP BY ALL) a
     ON m.tenant_id = a.tenant_id AND m.month = a.month"""))
 def usage_and_alerts(spark, sf_dir):
-    log = shifted(spark, sf_dir)
-    firing = F.array_sort(F.collect_list(F.struct("rule", "message")))  # at most one per rule
-    alerts = report(log).groupBy("tenant_id", "month").agg(firing.alias("f")).select(
-        "tenant_id", "month", F.array_join("f.message", "; ").alias("alerts"))
-    out = usage.usage_report(log).join(alerts, ["tenant_id", "month"], "left")
-    return day_text(out, "peak_day").withColumn("alerts", F.coalesce("alerts", F.lit("")))
+    out = usage.usage_and_alerts(shifted(spark, sf_dir), now(), spike=SPIKE, growth=GROWTH, expected_calls=EXPECTED, llm_cap=PROXIMITY_CAP)
+    return day_text(out, "peak_day")
 
 
 # -- limits ---------------------------------------------------------------

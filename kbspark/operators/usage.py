@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kbspark import constants as K
+from kbspark.session import cut_lineage
 
 DAY_US = 86_400_000_000
 
@@ -32,6 +33,19 @@ def daily_usage(log: DataFrame, keys=("tenant_id",)) -> DataFrame:
         F.count(F.lit(1)).alias("llm_calls"))
 
 
+def usage_totals(log: DataFrame, keys=("tenant_id",), cost: int = K.COST_PER_LLM_CALL) -> DataFrame:
+    """(keys, month, usage_date, of_month, total_requests, llm_calls, estimated_ai_cost, first_us) of
+    every day and, without a date, every month: one pass over the log sums days, and both
+    levels are grouping sets of those sums. The rows, few per key, are stored for all who read them."""
+    day = [*keys, "month", "usage_date"]
+    days = log.groupBy(*keys, month_of(F.col("ts")).alias("month"), F.to_date("ts").alias("usage_date")).agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if(F.col("is_llm")).alias("calls"), F.min("us").alias("first"))
+    totals = days.groupingSets([[F.col(c) for c in day], [F.col(c) for c in day[:-1]]], *[F.col(c) for c in day]).agg(
+        (F.grouping("usage_date") == 1).alias("of_month"), F.sum("requests").alias("total_requests"),
+        F.sum("calls").alias("llm_calls"), (F.sum("calls") * cost).alias("estimated_ai_cost"), F.min("first").alias("first_us"))
+    return cut_lineage(totals, "usage-totals")
+
+
 def peak_day(daily: DataFrame, keys=("tenant_id",)) -> DataFrame:
     """Day of each month with most calls, the earliest on a tie."""
     rank = F.struct(F.col("llm_calls"), -F.unix_date("usage_date"))
@@ -140,9 +154,14 @@ def alert_fast_burn(
     log: DataFrame, now: Column, keys=("tenant_id",), expected_calls: int = K.EXPECTED_MONTHLY_LLM_CALLS
 ) -> DataFrame:
     """Calls already at 40 % of what the month should bring in its first quarter."""
-    month_start = F.unix_micros(F.date_trunc("month", "ts"))
-    use = log.groupBy(*keys, month_of(F.col("ts")).alias("month"), month_start.alias("start")).agg(
+    use = log.groupBy(*keys, month_of(F.col("ts")).alias("month")).agg(
         F.min("us").alias("first_us"), F.count_if(F.col("is_llm")).alias("llm_calls"))
+    return _fast_burn(use, now, keys, expected_calls)
+
+
+def _fast_burn(use: DataFrame, now: Column, keys, expected_calls: int) -> DataFrame:
+    """The same from (keys, month, first_us, llm_calls)."""
+    use = use.withColumn("start", F.unix_micros(F.to_timestamp("month", "yyyy-MM")))
     days_in_month = F.day(F.last_day(F.timestamp_micros("start").cast("date")))
     last_midnight = F.col("start") + (days_in_month - 1).cast("long") * DAY_US
     burn_start = F.greatest("first_us", "start")
@@ -165,12 +184,32 @@ def monitoring_report(
     log: DataFrame, now: Column, keys=("tenant_id",), spike: float = K.SPIKE_RATIO, growth: float = K.GROWTH_RATIO,
     expected_calls: int = K.EXPECTED_MONTHLY_LLM_CALLS, llm_cap: int = K.MAX_LLM_CALLS_PER_MONTH,
 ) -> DataFrame:
-    """One row per firing rule, in rule order."""
-    daily = daily_usage(log, keys)
+    """One row per firing rule, in rule order. The log is read once."""
+    return _report(usage_totals(log, keys), now, keys, spike, growth, expected_calls, llm_cap)
+
+
+def _report(totals: DataFrame, now: Column, keys, spike: float, growth: float, expected_calls: int, llm_cap: int) -> DataFrame:
+    monthly = totals.filter("of_month")
+    daily = totals.filter("not of_month and llm_calls > 0").select(*keys, "usage_date", "llm_calls")
     rules = [
         alert_daily_spike(daily, keys, spike),
-        alert_fast_burn(log, now, keys, expected_calls),
+        _fast_burn(monthly, now, keys, expected_calls),
         alert_sustained_growth(daily, keys, growth),
-        alert_cap_proximity(monthly_usage(log, keys), keys, llm_cap),
+        alert_cap_proximity(monthly, keys, llm_cap),
     ]
     return reduce(DataFrame.unionByName, [r.withColumn("rule", F.lit(i)) for i, r in enumerate(rules, start=1)])
+
+
+def usage_and_alerts(
+    log: DataFrame, now: Column, keys=("tenant_id",), spike: float = K.SPIKE_RATIO, growth: float = K.GROWTH_RATIO,
+    expected_calls: int = K.EXPECTED_MONTHLY_LLM_CALLS, llm_cap: int = K.MAX_LLM_CALLS_PER_MONTH,
+) -> DataFrame:
+    """Monthly totals with peak day and the alerts that fire, in rule order; all from one pass over the log."""
+    totals = usage_totals(log, keys)
+    firing = F.array_sort(F.collect_list(F.struct("rule", "message")))  # at most one per rule
+    alerts = _report(totals, now, keys, spike, growth, expected_calls, llm_cap).groupBy(*keys, "month").agg(firing.alias("f")).select(
+        *keys, "month", F.array_join("f.message", "; ").alias("alerts"))
+    peaks = peak_day(totals.filter("not of_month and llm_calls > 0"), keys)
+    monthly = totals.filter("of_month").select(*keys, "month", "total_requests", "llm_calls", "estimated_ai_cost")
+    return monthly.join(peaks, [*keys, "month"], "left").join(alerts, [*keys, "month"], "left").withColumn(
+        "alerts", F.coalesce("alerts", F.lit("")))

@@ -1,6 +1,7 @@
 """Operators against brute force on small tables made to be awkward: many
 near-copies, one key with most rows, boundaries and ties."""
 
+import datetime as dt
 import math
 import random
 from collections import Counter
@@ -15,6 +16,7 @@ from kbspark.functions import text as X
 from kbspark.operators import access, chunking, dedupe, graph, limits, retrieval, tickets, usage
 from kbspark.operators.graph import components
 from kbspark.plans import kb
+from kbspark.session import work_dir
 
 # -- de-duplication -------------------------------------------------------
 
@@ -318,3 +320,24 @@ def test_contest_along_a_long_chain_takes_few_rounds(spark, monkeypatch):
     assert saves.count("pointers") < 20 and "acting" not in saves
     rounds = {x.id for x in dedupe.resolve_edges(edges.where("a < 60"), nodes, replayed=5).collect()}
     assert rounds == {x.id for x in dedupe.resolve_edges(edges.where("a < 60"), nodes).collect()} and "acting" in saves
+
+
+def test_usage_and_alerts_read_the_log_once(spark):
+    """Days and months, peaks and rules come from one stored sum of one scan."""
+    rows = [(i, f"t{i % 3}", i % 2 == 0, dt.datetime(2024, 1 + i % 2, 1 + i % 27, 5)) for i in range(400)] + [(900, None, None, dt.datetime(2024, 3, 1))]
+    log = spark.createDataFrame(rows, "event_id long, tenant_id string, is_llm boolean, ts timestamp").withColumn("us", F.unix_micros("ts"))
+    folder = work_dir(spark, "log")
+    log.write.parquet(folder)
+    log = spark.read.parquet(folder)
+    now = F.lit("2024-01-05 00:00:00").cast("timestamp")
+    out = usage.usage_and_alerts(log, now, expected_calls=10, llm_cap=20)
+    assert folder not in out._jdf.queryExecution().toString()  # what is left reads the stored totals
+    got = {(r.tenant_id, r.month): r for r in out.collect()}
+    monthly = {(r.tenant_id, r.month): r for r in usage.usage_report(log).collect()}
+    assert got.keys() == monthly.keys()
+    for k, r in monthly.items():
+        assert (r.total_requests, r.llm_calls, r.estimated_ai_cost, r.peak_day) == tuple(
+            got[k][c] for c in ("total_requests", "llm_calls", "estimated_ai_cost", "peak_day"))
+    rules = usage.alert_fast_burn(log, now, expected_calls=10).collect()
+    assert rules and all(r.message in got[r.tenant_id, r.month].alerts for r in rules)
+    assert usage.usage_and_alerts(log.limit(0), now).count() == 0
