@@ -114,24 +114,6 @@ class EliasFano:
                    np.frombuffer(data, "<u4", c, at + a + b))
 
 
-def packed(docs: DataFrame, tokenizer: str, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, tie, ids): the ids of every whole text with ``end`` after them, as little-endian numbers of the tokenizer's width."""
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tie"), F.col(text).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = byte_bpe(tokenizer)
-        mark = np.array([end], encoder.dtype).tobytes()
-        for batch in batches:
-            for part in slices(batch, 2):
-                ids, bounds = encoder.encode_all(part.column(2))
-                data, at = ids.tobytes(), (bounds * encoder.dtype.itemsize).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([data[a:b] + mark for a, b in zip(at, at[1:])], pa.binary())],
-                    names=["key", "tie", "ids"])
-
-    return rows.mapInArrow(run, "key long, tie long, ids binary")
-
-
 def write(docs: DataFrame, tokenizer: str, end: int = END, key: str = "doc_id", text: str = "text",
           file_bytes: int = FILE_BYTES) -> DataFrame:
     """Ids of every whole text, each followed by ``end``, in files of ascending key.
@@ -139,35 +121,34 @@ def write(docs: DataFrame, tokenizer: str, end: int = END, key: str = "doc_id",
     Returns (shard, file, n_docs, n_tokens), one row per file; files in the
     order of ``shard`` hold the rows in ascending key, missing keys first, rows
     of one key by a hash of the text. A file is the ids as little-endian numbers, then the
-    ends of its documents and their keys, Elias-Fano coded, then a footer. Texts are encoded where they
-    are read; packed ids are range-sorted, and files are cut so that each has about ``file_bytes``. A task holds one batch of ids and 16
+    ends of its documents and their keys, Elias-Fano coded, then a footer. Texts are range-sorted into files
+    of about ``file_bytes`` of text each and encoded once, slice by slice, as they are written. A task holds one slice of texts and 16
     bytes per document of its file. Missing texts are empty, texts of any length are encoded whole, repeated rows each have their place,
     other columns are ignored, and an empty table gives no files."""
     spark = docs.sparkSession
     folder = shared_folder(spark, "token-files")
-    wide = byte_bpe(tokenizer).dtype.itemsize
-    rows = saved(packed(docs, tokenizer, end, key, text), "packed-ids")
-    total = rows.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tie"), F.col(text).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(-(-total // file_bytes), 1)
     rows = rows.repartitionByRange(n, F.col("key").asc_nulls_first(), F.col("tie"))
     rows = rows.sortWithinPartitions(F.col("key").asc_nulls_first(), F.col("tie"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = byte_bpe(tokenizer)
+        wide = encoder.dtype.itemsize
         stream, uri, total, no_key = None, None, 0, 0
         ends, keys = [], []
-        for batch in filter(len, batches):
+        for part in (part for batch in batches for part in slices(batch, 1)):
             if stream is None:
                 stream, uri = write_once(folder, f"shard-{TaskContext.get().partitionId():05d}")
                 stream.write(MAGIC)
-            sizes = np.empty(batch.num_rows, np.int64)
-            for i, value in enumerate(batch.column(1)):
-                data = value.as_buffer()
-                stream.write(data)
-                sizes[i] = len(data) // wide
+            ids, bounds = encoder.encode_all(part.column(1))
+            stream.write(np.insert(ids, bounds[1:], np.array(end, encoder.dtype)).tobytes())
+            sizes = np.diff(bounds) + 1
             ends.append(total + np.cumsum(sizes))
             total += int(sizes.sum())
-            no_key += batch.column(0).null_count
-            keys.append(batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64))
+            no_key += part.column(0).null_count
+            keys.append(part.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64))
         if stream is None:
             return
         ends, keys = np.concatenate(ends), np.concatenate(keys)
@@ -180,7 +161,7 @@ def write(docs: DataFrame, tokenizer: str, end: int = END, key: str = "doc_id",
              pa.array([len(ends)], pa.int64()), pa.array([total], pa.int64())],
             names=["shard", "file", "n_docs", "n_tokens"])
 
-    return saved(rows.select("key", "ids").mapInArrow(run, "shard long, file string, n_docs long, n_tokens long"), "token-manifest")
+    return saved(rows.select("key", "text").mapInArrow(run, "shard long, file string, n_docs long, n_tokens long"), "token-manifest")
 
 
 class TokenFile:
