@@ -315,11 +315,15 @@ def ticket_input_gate(spark, sf_dir):
     return t.select("ticket_id", gate.alias("g")).select("ticket_id", "g.*")
 
 
-@query("feedback_bucket", sql("""SELECT event_id, rating, CASE WHEN rating >= 4 THEN 'positive' WHEN rating = 3 THEN 'neutral'
-    ELSE 'needs_review' END AS feedback_type FROM request_log WHERE rating BETWEEN 1 AND 5"""))
+_COMMENT = "CASE event_id % 4 WHEN 0 THEN '  late' || chr(10) || 'parcel ' || chr(9) WHEN 1 THEN ' ' || chr(13) || chr(10) WHEN 2 THEN 'fine' END"
+
+
+@query("feedback_bucket", sql(f"""SELECT event_id, rating, CASE WHEN rating >= 4 THEN 'positive' WHEN rating = 3 THEN 'neutral'
+    ELSE 'needs_review' END AS feedback_type, nullif({Q.strip(_COMMENT)}, '') AS comment FROM request_log WHERE rating BETWEEN 1 AND 5"""))
 def feedback_bucket(spark, sf_dir):
     rated = X.request_log(spark, sf_dir).filter(F.col("rating").between(1, 5))
-    return rated.select("event_id", F.col("rating").cast("bigint"), R.feedback_bucket(F.col("rating")).alias("feedback_type"))
+    return rated.select("event_id", F.col("rating").cast("bigint"), R.feedback_bucket(F.col("rating")).alias("feedback_type"),
+                        R.feedback_comment(F.expr(_COMMENT)).alias("comment"))
 
 
 _INTENT = X.sql_pick("doc_id % 5", *map(Q.lit, K.INTENT_LABELS))

@@ -60,6 +60,11 @@ def feedback_bucket(rating: Column) -> Column:
     return F.when(rating >= 4, "positive").when(rating == 3, "neutral").otherwise("needs_review")
 
 
+def feedback_comment(comment: Column) -> Column:
+    """The comment without white space around it; nothing left is no comment."""
+    return F.nullif(X.strip(comment), F.lit(""))
+
+
 def tone(original: Column, sentiment: Column, intent: Column) -> Column:
     negative = F.upper(F.coalesce(sentiment, F.lit(""))) == "NEGATIVE"
     return F.when(negative & intent.isin(*K.EMPATHY_INTENTS), "empathetic").when(
