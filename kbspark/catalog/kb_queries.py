@@ -8,6 +8,7 @@ from kbspark.catalog import fixtures as X
 from kbspark.catalog import sqlkit as Q
 from kbspark.catalog.fixtures import sql, table
 from kbspark.operators import chunking, dedupe
+from kbspark.session import cut_lineage
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -46,7 +47,8 @@ def dedupe_exact(spark, sf_dir):
 @query("dedupe_substring", sql("""SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, text FROM uniq
     WHERE id NOT IN (SELECT id FROM contained)""", uniq=UNIQUE, contained=CONTAINED))
 def dedupe_substring(spark, sf_dir):
-    return dedupe.drop_contained(with_id(dedupe_exact(spark, sf_dir))).drop("id")
+    unique = cut_lineage(with_id(dedupe_exact(spark, sf_dir)), "unique")   # read twice
+    return dedupe.drop_contained(unique).drop("id")
 
 
 def doc_priority():

@@ -8,12 +8,13 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from kbspark.catalog import fixtures
 from kbspark.functions import text as X
-from kbspark.operators import access, chunking, dedupe, graph, limits, retrieval, tickets, usage
+from kbspark.operators import access, chunking, dedupe, grams, graph, limits, retrieval, tickets, usage
 from kbspark.operators.graph import components
 from kbspark.plans import kb
 from kbspark.session import work_dir
@@ -52,6 +53,36 @@ def test_contained_respects_scope(spark):
     assert {r["id"] for r in dedupe.contained_ids(rows, scope="file").collect()} == {2, 4}
 
 
+def test_contained_in_small_and_periodic_texts(spark):
+    pool = ["abc", "xabcx", "a" * 70, "a" * 90, "ab" * 45, "ab" * 30 + "c", "b" + "ab" * 30 + "cd", "é", "\U0001f600é!", "q" * 19, "q" * 20, "q" * 21]
+    want = {i for i, a in enumerate(pool) if any(len(a) < len(b) and a in b for b in pool)}
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(pool)] + [(98, ""), (99, None)], "id bigint, text string")
+    assert {r["id"] for r in dedupe.contained_ids(rows.repartition(20)).collect()} == want
+    assert dedupe.contained_ids(rows.limit(0)).count() == 0
+
+
+def test_hosts_show_few_grams():
+    """With every bit of the filters set, hosts show one gram in eight characters at most; a filter of the anchors lets few others through."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefghij é") for _ in range(rng.randint(300, 1500))) for _ in range(300)]
+    hosts = pd.DataFrame({"id": range(300), "text": texts, "salt": 7})
+    chars = sum(map(len, texts))
+
+    def shown(filters):
+        return sum(len(part) for part in grams.host_windows([], filters)(iter([hosts])))
+
+    everything = np.full(4096, 255, dtype="uint8")
+    assert 0 < shown({0: everything, 1: everything}) <= chars / 8
+    assert grams.filter_bits(10**12) == grams.MOST_BITS and grams.filter_bits(5000) >= 16 * 5000
+    needles = pd.DataFrame({"id": range(50), "text": [t[100:145] for t in texts[:50]], "salt": 7})
+    anchors = pd.concat(grams.needles(iter([needles])))
+    bits = np.zeros(4096, dtype="uint8")
+    for h in anchors.loc[anchors["level"] == 1, "h"]:
+        for bit in (h & 32767, (h >> 32) & 32767):
+            bits[bit >> 3] |= 1 << (bit & 7)
+    assert 50 <= shown({1: bits}) <= 80
+
+
 def fallen(edges, strengths):
     """Edges in order: of two rows that both stand the weaker falls, the later one on a tie."""
     gone = set()
