@@ -8,7 +8,7 @@ from kbspark.catalog import fixtures as X
 from kbspark.catalog import sqlkit as Q
 from kbspark.catalog.fixtures import sql, table
 from kbspark.operators import chunking, dedupe
-from kbspark.session import cut_lineage
+from kbspark.session import cut_lineage, work_dir
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -238,14 +238,15 @@ def chunk_contest() -> dict[str, str]:
     return contest_ctes(rows, vecs)
 
 
-@query("kb_build", sql("SELECT source, file_name, CAST(chunk_index AS INTEGER) AS chunk_index, text FROM whole WHERE id NOT IN (SELECT id FROM losers)",
+@query("kb_build", sql("SELECT source, file_name, CAST(chunk_index AS INTEGER) AS chunk_index, text, 64 AS dim FROM whole WHERE id NOT IN (SELECT id FROM losers)",
                        recursive=True, **BUILD, **chunk_contest()))
 def kb_build(spark, sf_dir):
     from kbspark.plans import kb
 
     uploads, base = two_sources(spark, sf_dir)
     cols = ["source", "file_name", "content"]
-    return kb.build(uploads.select(*cols), base.select(*cols), table(spark, sf_dir, "pages"))
+    rows = kb.build_index(uploads.select(*cols), base.select(*cols), table(spark, sf_dir, "pages"), work_dir(spark, "index"), dim=64)
+    return rows.select("source", "file_name", "chunk_index", "text", F.size("embedding").alias("dim"))
 
 
 INGEST = {

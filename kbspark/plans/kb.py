@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from kbspark import constants as K
 from kbspark.functions import rules as R
 from kbspark.functions import text as X
-from kbspark.operators import chunking, dedupe
+from kbspark.operators import chunking, dedupe, models
 from kbspark.session import cut_lineage
+from kbspark.sources import sinks
 
 CHUNK_COLUMNS = ("source", "file_name", "chunk_index", "text")
 
@@ -50,6 +51,17 @@ def build(
     return dedupe_chunks(load_chunks(uploads, base, pages, listed, allowed_domains))
 
 
+def build_index(
+    uploads: DataFrame, base: DataFrame, pages: DataFrame, path: str, listed: DataFrame | None = None, allowed_domains=None,
+    dim: int = models.DIM, model=None, mode: str = "errorifexists",
+) -> DataFrame:
+    """A knowledge base built from scratch, embedded and stored as a version of
+    the vector table at ``path``; the stored rows, read back by their manifest."""
+    chunks = build(uploads, base, pages, listed, allowed_domains)
+    sinks.write_vectors(models.embed_chunks(chunks, dim, model), path, mode)
+    return sinks.read_vectors(chunks.sparkSession, path, dim)
+
+
 def admit(manifest: DataFrame, existing: DataFrame) -> DataFrame:
     """Files with ``safe_name``, ``stored_name``, ``clean_text``, ``reason``
     (null when accepted) and ``stored``, checks in order: conflict with a

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructType
 
 from kbspark.functions import text as X
@@ -49,24 +51,126 @@ def write_logs(df: DataFrame, path: str, batch_id: int | None = None) -> None:
 
 VECTOR_SCHEMA = ("chunk_id bigint, file_name string, chunk_index int, text string, embedding array<float>, "
                  "source string")
+MANIFEST_SCHEMA = "version string, source string, file string, rows bigint, least_dim int, most_dim int, checksum string"
+FILE = ("version", "source", "file")   # what identifies a file of the table
+
+
+class DamagedTable(ValueError):
+    """The files of a vector table are not those of its manifest."""
+
+
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    """Names of the published manifests, oldest first."""
+    fs, folder = _folder(spark, f"{path}/_manifest")
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(n for n in names if n.startswith("v"))
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
 
+def _stored(spark: SparkSession, path: str, versions: list[str]) -> DataFrame:
+    """Rows of the stated versions; other versions' folders are not read."""
+    return spark.read.parquet(path).filter(F.col("version").isin(*versions))
 
-def write_vectors(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Chunks with their vectors, one folder per source for partition pruning."""
-    df.write.mode(mode).partitionBy("source").parquet(path)
 
+def _files(rows: DataFrame, content: bool = True) -> DataFrame:
+    """One row per file: its rows and, with ``content``, the least and greatest vector
+    size and a sum of row hashes. Without it only file footers are read."""
+    file = rows.withColumn("file", F.col("_metadata.file_name"))
+    sums = [F.count(F.lit(1)).alias("rows")]
+    if content:
+        values = [c for c in rows.columns if c not in FILE]
+        sums += [F.min(F.size("embedding")).alias("least_dim"), F.max(F.size("embedding")).alias("most_dim"),
+                 F.sum(F.xxhash64(*values).cast("decimal(38,0)")).cast("string").alias("checksum")]
+    return file.groupBy(*FILE).agg(*sums)
 
-def read_vectors(spark: SparkSession, path: str, dim: int | None = None) -> DataFrame:
-    """The vector table without rows whose text or vector is missing or of
-    another size; empty where there is no table yet."""
+
+def write_vectors(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
+    """Chunks with their vectors as a new version of the table, which is returned;
+    one folder per source and version for partition pruning.
+
+    A manifest (each file's rows, vector sizes and checksum) is written beside
+    the data and published by one rename. Until then readers see the table as it
+    was, and what a failed job has left is in no manifest. ``append`` keeps the
+    files of the last version, ``overwrite`` starts anew. One writer at a time."""
+    spark = df.sparkSession
+    before = _listed(spark, path)
+    if before and mode not in ("append", "overwrite"):
+        raise ValueError(f"{path} already holds a vector table")
+    version = f"v{len(before) + 1:08d}"
+    part = f"{version}-{uuid.uuid4().hex[:12]}"
+    df.withColumn("version", F.lit(part)).write.mode("append").partitionBy("source", "version").parquet(path)
     try:
-        rows = spark.read.parquet(path)
+        files = _files(_stored(spark, path, [part]))
     except AnalysisException as error:
         if not is_missing(error):
             raise
+        files = spark.createDataFrame([], MANIFEST_SCHEMA)   # no rows were ever written
+    if before and mode == "append":
+        files = files.unionByName(spark.read.parquet(f"{path}/_manifest/{before[-1]}"))
+    fs, draft = _folder(spark, f"{path}/_manifest/_draft-{part}")
+    files.write.parquet(draft.toString())
+    _, published = _folder(spark, f"{path}/_manifest/{version}")
+    if fs.exists(published) or not fs.rename(draft, published):
+        raise ValueError(f"another writer has published {version} of {path}")
+    return version
+
+
+def vector_fault(dim: int | None = None) -> Column:
+    """Why a row cannot be searched; null when it can."""
+    vector = F.col("embedding")
+    return (
+        F.when(F.col("text").isNull(), "missing_text").when(vector.isNull(), "missing_vector")
+        .when(F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), "bad_value")
+        .when(F.lit(False) if dim is None else F.size(vector) != dim, "wrong_dimension")
+    )
+
+
+def read_vectors(
+    spark: SparkSession, path: str, dim: int | None = None, version: str | None = None, content: bool = False
+) -> DataFrame:
+    """Rows of the last published version, or of the one named, that can be searched;
+    ``vector_rejects`` gives the others. Empty where there is no table yet."""
+    return _checked(spark, path, version, content).filter(vector_fault(dim).isNull())
+
+
+def vector_rejects(spark: SparkSession, path: str, dim: int | None = None, version: str | None = None) -> DataFrame:
+    """Stored rows without a text or a vector of ``dim`` finite numbers, with ``reason``."""
+    rows = _checked(spark, path, version, False)
+    return rows.withColumn("reason", vector_fault(dim)).filter("reason IS NOT NULL")
+
+
+def _checked(spark: SparkSession, path: str, version: str | None, content: bool) -> DataFrame:
+    """The rows of a version after its files were held against the manifest: each is there with
+    its number of rows and, with ``content``, the same sums. A table with other files is refused."""
+    published = _listed(spark, path)
+    if version is not None and version not in published:
+        raise DamagedTable(f"{path} has no version {version}")
+    if not published:
         return spark.createDataFrame([], VECTOR_SCHEMA)
-    rows = rows.filter(F.col("text").isNotNull() & F.col("embedding").isNotNull())
-    return rows if dim is None else rows.filter(F.size("embedding") == dim)
+    manifest = spark.read.parquet(f"{path}/_manifest/{version or published[-1]}")
+    parts = [r["version"] for r in manifest.select("version").distinct().collect()]   # one per write
+    if not parts:
+        return spark.createDataFrame([], VECTOR_SCHEMA)
+    try:
+        rows = _stored(spark, path, parts)
+    except AnalysisException as error:
+        if not is_missing(error):
+            raise
+        raise DamagedTable(f"{path}: every file of the manifest is missing") from error
+    found = _files(rows, content)
+    sums = [c for c in found.columns if c not in FILE]
+    found = found.select(*FILE, F.struct(*sums).alias("found"))
+    pairs = manifest.select(*FILE, F.struct(*sums).alias("listed")).join(found, list(FILE), "full")
+    missing, unlisted, changed = pairs.agg(
+        F.count_if(F.col("found").isNull()), F.count_if(F.col("listed").isNull()),
+        F.count_if(F.col("found").isNotNull() & F.col("listed").isNotNull() & ~F.col("found").eqNullSafe(F.col("listed")))).first()
+    if missing or unlisted or changed:
+        raise DamagedTable(f"{path}: {missing} files missing, {unlisted} not in the manifest, {changed} changed")
+    return rows.drop("version")
 
 
 # -- usage counters -------------------------------------------------------
