@@ -64,11 +64,31 @@ def usage_counters_stream(spark, sf_dir):
     return sinks.read_usage(spark, path)
 
 
-@query("interaction_ttl_join", sql("SELECT lookup_id, interaction_id FROM looked WHERE state_status = 'valid'", looked=U.LOOKED))
+def closing_event(events, folder: str) -> None:
+    """A retrieval of a user that nobody is two days after the last event, as a heartbeat at the end of the log."""
+    retrieval = next(kind for kind, endpoint in X.ENDPOINT_BY_EVENT if endpoint == "api_retrieve")
+    given = {"event_id": F.lit(-1), "user_id": F.lit(-1), "event_type": F.lit(retrieval), "ts": F.col("last") + F.expr("INTERVAL 2 DAYS")}
+    events.agg(F.max("ts").alias("last")).select(*[
+        given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema.fields
+    ]).write.mode("append").parquet(folder)
+
+
+@query("interaction_ttl_join", U.ORACLES["interaction_lookup"])
 def interaction_ttl_join(spark, sf_dir):
-    joined = jobs.interactions(
-        X.interaction_states(log_stream(spark, sf_dir)), X.interaction_lookups(log_stream(spark, sf_dir)))
-    return finished(spark, joined.select("lookup_id", "interaction_id"), "interactions")
+    events = ensure_utc(spark).read.parquet(f"{sf_dir}/events.parquet")
+    beats, path, progress = (work_dir(spark, f"interactions-{name}") for name in ("beats", "out", "progress"))
+    events.limit(0).write.parquet(beats)   # the folder is there before its first heartbeat
+
+    def log():
+        stream = jobs.table_stream(spark, sf_dir, "events.parquet").unionByName(spark.readStream.schema(events.schema).parquet(beats))
+        return X.log_columns(stream)
+
+    for close in (False, True):
+        if close:
+            closing_event(events, beats)
+        joined = jobs.interactions(X.interaction_states(log()), X.interaction_lookups(log()))
+        jobs.run_available(joined.select("lookup_id", "interaction_id", "state_status"), path, progress)
+    return spark.read.parquet(path).filter("lookup_id >= 0")
 
 
 def index_ctes() -> dict[str, str]:

@@ -30,15 +30,16 @@ def entitlement(log: DataFrame, api_keys: DataFrame) -> DataFrame:
         {"scope_code": scope_code, "status_code": status_code}).drop("scopes")
 
 
-def lookup(requests: DataFrame, states: DataFrame) -> DataFrame:
-    """Requests with ``state_status`` (valid, expired, unknown) and the state's
-    columns. A state is known from ``created_at`` on and valid until ``expires_at``."""
-    keys = ["interaction_id", "tenant_id"]
-    joined = requests.join(states, keys, "left")
-    status = F.when(
+def state_status() -> Column:
+    """valid, expired or unknown: a state is known from ``created_at`` on and valid until ``expires_at``."""
+    return F.when(
         F.col("expires_at").isNull() | (F.col("requested_at") < F.col("created_at")), "unknown").when(
         F.col("expires_at") < F.col("requested_at"), "expired").otherwise("valid")
-    return joined.withColumn("state_status", status)
+
+
+def lookup(requests: DataFrame, states: DataFrame) -> DataFrame:
+    """Requests with ``state_status`` and the state's columns."""
+    return requests.join(states, ["interaction_id", "tenant_id"], "left").withColumn("state_status", state_status())
 
 
 def audit_rows(looked_up: DataFrame, masked=("purpose", "key_points", "ops_query")) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from kbspark import constants as K
 from kbspark.functions import text as X
-from kbspark.operators import chunking, models, usage
+from kbspark.operators import access, chunking, models, usage
 from kbspark.plans import kb
 from kbspark.session import DEFAULTS, is_missing
 from kbspark.sources import sinks
@@ -18,6 +18,7 @@ from kbspark.streaming.processors import MonthlyQuota, SlidingLog
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 LATENESS = "10 minutes"
+REMEMBERED_HOURS = 24   # how long an expired state can still be told from an unknown one
 
 
 def stateful(spark: SparkSession) -> None:
@@ -77,19 +78,28 @@ def log_sink(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def interactions(
-    states: DataFrame, lookups: DataFrame, ttl_hours: int = K.INTERACTION_TTL_HOURS, lateness: str = LATENESS
+    states: DataFrame, lookups: DataFrame, ttl_hours: int = K.INTERACTION_TTL_HOURS, remembered_hours: int = REMEMBERED_HOURS,
+    lateness: str = LATENESS,
 ) -> DataFrame:
-    """Lookups that find their state alive. State of both sides is dropped
-    once the watermarks pass the time to live."""
+    """Every lookup with ``state_status`` and the columns of its state.
+
+    Valid and expired lookups leave at once; those without a state leave as unknown when
+    the watermarks of both sides have passed them, since a late state may still turn up. A state
+    is kept for ``remembered_hours`` beyond its time to live, so that lookups up to then find it
+    expired; later ones are unknown. Watermarks move with rows only: in a quiet
+    time, or at the end of a finite log, send both sides a heartbeat, a row with a later
+    time and the id of a tenant that nobody is; rows without an id are left out
+    before they move a watermark. Such a lookup may come out itself."""
     s = states.withWatermark("created_at", lateness).select(
-        F.col("interaction_id").alias("state_id"), F.col("tenant_id").alias("state_tenant"), "created_at", "purpose", "key_points")
+        F.col("interaction_id").alias("state_id"), F.col("tenant_id").alias("state_tenant"),
+        "created_at", "expires_at", "purpose", "key_points")
     k = lookups.withWatermark("requested_at", lateness)
-    alive = (
+    known = (
         (F.col("interaction_id") == F.col("state_id")) & (F.col("tenant_id") == F.col("state_tenant"))
         & (F.col("requested_at") >= F.col("created_at"))
-        & (F.col("requested_at") <= F.col("created_at") + F.expr(f"INTERVAL {ttl_hours} HOURS"))
+        & (F.col("requested_at") <= F.col("created_at") + F.expr(f"INTERVAL {ttl_hours + remembered_hours} HOURS"))
     )
-    return k.join(s, alive).drop("state_id", "state_tenant")
+    return k.join(s, known, "left_outer").drop("state_id", "state_tenant").withColumn("state_status", access.state_status())
 
 
 class VectorLimitExceeded(ValueError):

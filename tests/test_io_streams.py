@@ -1,11 +1,15 @@
 """Files read and written, and streams over several micro-batches."""
 
+import datetime as dt
 import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from kbspark.catalog import fixtures as X
+from kbspark.catalog import stream_queries as S
 from kbspark.catalog import usage_queries as U
 from kbspark.operators import limits, usage
 from kbspark.sources import readers, sinks
@@ -45,6 +49,47 @@ def test_vectors_drop_bad_rows(spark, tmp_path):
     assert readers.scan_url_list(spark, str(tmp_path / "none.json")).count() == 0
 
 
+def test_vector_table_versions_rejects_and_damage(spark, tmp_path):
+    schema = "chunk_id bigint, source string, text string, embedding array<double>"
+    nan = float("nan")
+    bad = [(2, "KB", None, [1.0, 2.0]), (3, "URL", "u", [1.0]), (4, "KB", "v", None), (5, "KB", "w", [nan, 1.0]), (6, "KB", "x", [None, 1.0])]
+    path = str(tmp_path / "v")
+    first = sinks.write_vectors(spark.createDataFrame([(1, "KB", "t", [1.0, 2.0]), *bad], schema), path)
+    reasons = {r["chunk_id"]: r["reason"] for r in sinks.vector_rejects(spark, path, 2).collect()}
+    assert reasons == {2: "missing_text", 3: "wrong_dimension", 4: "missing_vector", 5: "bad_value", 6: "bad_value"}
+    more = spark.createDataFrame([(7, "KB", "y", [3.0, 4.0])], schema)
+    with pytest.raises(ValueError):
+        sinks.write_vectors(more, path)
+    # What no manifest lists is not read.
+    more.withColumn("version", F.lit("v00000002-lost")).write.mode("append").partitionBy("source", "version").parquet(path)
+
+    def ids(**options):
+        return sorted(r["chunk_id"] for r in sinks.read_vectors(spark, path, 2, **options).collect())
+
+    assert ids() == [1]
+    second = sinks.write_vectors(more, path, "append")
+    assert ids(content=True) == [1, 7] and ids(version=first) == [1] and first < second
+    sinks.write_vectors(more, path, "overwrite")
+    assert ids() == [7] and ids(version=second) == [1, 7]
+    empty = str(tmp_path / "e")
+    sinks.write_vectors(more.limit(0), empty)
+    assert sinks.read_vectors(spark, empty).count() == 0
+    # A file of the first version goes missing, and comes back with another text.
+    files = [f for f in (tmp_path / "v" / "source=KB").rglob("*.parquet") if first in str(f)]
+    kept = files[0].read_bytes()
+    files[0].unlink()
+    with pytest.raises(sinks.DamagedTable, match="1 files missing"):
+        ids(version=second)
+    files[0].write_bytes(kept)
+    assert ids(version=second, content=True) == [1, 7]
+    rows = pq.ParquetFile(files[0]).read()
+    place = rows.column_names.index("text")
+    files[0].with_name(f".{files[0].name}.crc").unlink()
+    pq.write_table(rows.set_column(place, "text", pa.array(["other"] * len(rows))), files[0])
+    with pytest.raises(sinks.DamagedTable, match="1 changed"):
+        ids(version=second, content=True)
+
+
 def test_guarded_csv(spark, tmp_path):
     rows = spark.createDataFrame([("=1+1", 1), ("-x", 2), ("ok, \"q\"", 3)], "a string, n int")
     path = str(tmp_path / "c")
@@ -103,10 +148,47 @@ def test_usage_stream_equals_batch(spark, event_files, tmp_path):
 
 
 def test_interaction_stream_equals_batch(spark, event_files, tmp_path):
-    stream = jobs.interactions(
-        X.interaction_states(stream_of(spark, event_files)), X.interaction_lookups(stream_of(spark, event_files)), lateness="5 days")
-    batch = U.looked_up(spark, SF_DIR).filter("state_status = 'valid'")
-    assert pairs(finished(spark, stream, tmp_path), "lookup_id") == pairs(batch, "lookup_id")
+    """Four files, then a heartbeat: every lookup has left, with the status that the batch gives it."""
+    events = spark.read.parquet(event_files)
+    beats = str(tmp_path / "beats")
+    events.limit(0).write.parquet(beats)
+
+    def log():
+        reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+        return X.log_columns(reader.parquet(event_files).unionByName(reader.parquet(beats)))
+
+    def run():
+        return finished(spark, jobs.interactions(X.interaction_states(log()), X.interaction_lookups(log()), lateness="5 days"), tmp_path)
+
+    batch = U.looked_up(spark, SF_DIR)
+    columns = ("lookup_id", "state_status")
+    assert pairs(run().filter("state_status <> 'unknown'"), *columns) == pairs(batch.filter("state_status <> 'unknown'"), *columns)
+    last = events.agg(F.max("ts")).first()[0]
+    closing = events.limit(1).withColumn("ts", F.lit(last + dt.timedelta(days=10)).cast(events.schema["ts"].dataType))
+    S.closing_event(events.unionByName(closing), beats)
+    got = pairs(run().filter("lookup_id >= 0"), *columns)
+    assert got == pairs(batch, *columns)
+    assert {status for _, status in got} == {"valid", "expired", "unknown"}
+
+
+def test_lookup_long_after_its_state_is_unknown(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1)
+    states = [("a", "t", "p", "k", day, day + dt.timedelta(hours=2))]
+    lookups = [(n, "a", tenant, day + dt.timedelta(hours=h)) for n, tenant, h in ((1, "t", 1), (2, "t", 5), (3, "t", 40), (4, "u", 1), (5, "t", -1))]
+    late = day + dt.timedelta(days=9)
+    tables = {
+        "s": ("interaction_id string, tenant_id string, purpose string, key_points string, created_at timestamp, expires_at timestamp",
+              states, [("-", "-", None, None, late, late)]),
+        "k": ("lookup_id bigint, interaction_id string, tenant_id string, requested_at timestamp", lookups, [(-1, "-", "-", late)]),
+    }
+    for beat in (False, True):
+        streams = {}
+        for name, (schema, rows, beats) in tables.items():
+            spark.createDataFrame(beats if beat else rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+            streams[name] = spark.readStream.schema(schema).parquet(str(tmp_path / name))
+        out = finished(spark, jobs.interactions(streams["s"], streams["k"], 2, 24), tmp_path)
+    assert pairs(out.filter("lookup_id > 0"), "lookup_id", "state_status") == [
+        (1, "valid"), (2, "expired"), (3, "unknown"), (4, "unknown"), (5, "unknown")]
 
 
 def test_index_sink_is_replay_safe_and_capped(spark, tmp_path):
