@@ -94,19 +94,23 @@ def interaction_ttl_join(spark, sf_dir):
 def index_ctes() -> dict[str, str]:
     """The batch build of every file on its own."""
     ctes = {**KB.INGEST, **KB.file_contest()}
-    ctes["accepted"] = f"""SELECT * FROM (SELECT doc_id, 'doc' || doc_id || '.txt' AS stored_name, {Q.kb_clean('text')} AS clean_text
-        FROM documents) WHERE length(clean_text) >= 100 AND regexp_matches(clean_text, '[a-zA-Z0-9]{{3,}}')"""
-    return ctes
+    cleaned = f"SELECT doc_id, text, 'doc' || doc_id || '.txt' AS stored_name, {Q.kb_clean('text')} AS clean_text FROM documents"
+    ctes["accepted"] = """SELECT doc_id, stored_name, clean_text
+        FROM cleaned WHERE length(clean_text) >= 100 AND regexp_matches(clean_text, '[a-zA-Z0-9]{3,}')"""
+    return {"cleaned": cleaned, **ctes}
 
 
-@query("kb_incremental_index", sql("""SELECT stored_name AS file_name, CAST(chunk_index AS INTEGER) AS chunk_index, text, 64 AS dim
-    FROM whole WHERE id NOT IN (SELECT id FROM losers)""", recursive=True, **index_ctes()))
+@query("kb_incremental_index", sql("""SELECT stored_name AS file_name, CAST(chunk_index AS INTEGER) AS chunk_index, text, 64 AS dim, NULL AS reason
+    FROM whole WHERE id NOT IN (SELECT id FROM losers) UNION ALL
+    SELECT 'doc' || doc_id || '.txt', NULL, NULL, NULL, CASE WHEN text IS NULL OR text = '' THEN 'empty' WHEN length(clean_text) < 100 THEN 'too_short' ELSE 'no_tokens' END
+    FROM cleaned WHERE text IS NULL OR text = '' OR length(clean_text) < 100 OR NOT regexp_matches(clean_text, '[a-zA-Z0-9]{3,}')""", recursive=True, **index_ctes()))
 def kb_incremental_index(spark, sf_dir):
     docs = jobs.table_stream(ensure_utc(spark), sf_dir, "documents.parquet")
     files = docs.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), F.col("text").alias("content"))
     path = work_dir(spark, "index")
     jobs.run_available(files, path, work_dir(spark, "index-progress"), jobs.index_sink(path, dim=64, max_vectors=None))
-    return spark.read.parquet(path).select("file_name", "chunk_index", "text", F.size("embedding").alias("dim"))
+    chunks = jobs.read_index(spark, path).select("file_name", "chunk_index", "text", F.size("embedding").alias("dim"))
+    return chunks.unionByName(jobs.index_rejects(spark, path).select("file_name", "reason"), allowMissingColumns=True)
 
 
 @query("log_append_stream", sql("SELECT tenant_id, CAST(event_id AS VARCHAR) AS request_id, endpoint, us, 'success' AS status FROM request_log"))

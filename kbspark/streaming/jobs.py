@@ -12,7 +12,7 @@ from kbspark import constants as K
 from kbspark.functions import text as X
 from kbspark.operators import access, chunking, models, usage
 from kbspark.plans import kb
-from kbspark.session import DEFAULTS, is_missing
+from kbspark.session import DEFAULTS, cut_lineage, is_missing
 from kbspark.sources import sinks
 from kbspark.streaming.processors import MonthlyQuota, SlidingLog
 
@@ -107,34 +107,77 @@ class VectorLimitExceeded(ValueError):
 
 
 def index_sink(path: str, dim: int = models.DIM, max_vectors: int | None = None) -> Callable[[DataFrame, int], None]:
-    """Clean, chunk, de-duplicate within each file, embed and append new files
-    (file_name, content). A file already indexed with the same content is left
-    out, so a replayed batch adds nothing; each batch is one folder. Where
-    ``max_vectors`` is given, a batch that would exceed it fails."""
-
-    def indexed(spark: SparkSession) -> DataFrame | None:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException as error:
-            if is_missing(error):
-                return None
-            raise
+    """Clean, chunk, de-duplicate within each file, embed and store files (file_name, content).
+
+    A batch leaves two folders, each written again as a whole when it is replayed: its chunks
+    and, after them, one row per file with the reason of a refusal. ``read_index`` gives the chunks of
+    each file's last accepted content, so a changed file replaces the old one and a refused change
+    leaves it as it is; ``index_rejects`` gives the refusals. A file whose stored content is the same
+    is left out. Of several contents of one name in a batch, the one with the greatest
+    hash enters and the others are refused. A batch looks at the rows of its
+    own file names in the table of files, not at chunks. Where ``max_vectors`` is
+    given, a batch after which the index would hold more fails."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        cleaned = batch.withColumn("clean", X.kb_clean(F.col("content"))).withColumn("content_hash", F.sha2("clean", 256))
-        fresh = cleaned.filter((F.length("clean") >= K.KB_MIN_CHARS) & F.col("clean").rlike("[a-zA-Z0-9]{3,}"))
-        known = indexed(spark)
-        if known is not None:
-            others = known.filter(F.col("batch") != batch_id)
-            seen = others.select("file_name", "content_hash").distinct()
-            fresh = fresh.join(seen, ["file_name", "content_hash"], "left_anti")
-        files = fresh.select(F.lit("UPLOADED_KB").alias("source"), "file_name", "content_hash", F.col("clean").alias("content"))
+        clean = batch.select("file_name", "content", X.kb_clean(F.col("content")).alias("clean"))
+        offered = clean.select(
+            "file_name", "clean", F.sha2(F.coalesce("clean", F.lit("")), 256).alias("content_hash"),
+            F.when(F.coalesce("file_name", F.lit("")) == "", "MISSING_FILE_NAME").otherwise(
+                X.kb_reject_reason(F.col("content"), F.col("clean"))).alias("reason"),
+        ).dropDuplicates(["file_name", "content_hash", "reason"])
+        stored = _files(spark, path)
+        if stored is not None:
+            offered = cut_lineage(offered, "offered")
+            mine = stored.filter(F.col("batch") < batch_id).join(offered.select("file_name").distinct(), "file_name", "left_semi")
+            offered = offered.join(_current(mine), ["file_name", "content_hash"], "left_anti")
+        offered = cut_lineage(offered, "changed")
+        entering = offered.filter("reason IS NULL").groupBy("file_name").agg(F.max("content_hash").alias("entering"))
+        judged = cut_lineage(offered.join(entering, "file_name", "left").withColumn("reason", F.coalesce(
+            "reason", F.when(F.col("content_hash") != F.col("entering"), "replaced_in_batch"))), "judged")
+        files = judged.filter("reason IS NULL").select(
+            F.lit("UPLOADED_KB").alias("source"), "file_name", "content_hash", F.col("clean").alias("content"))
         chunks = kb.dedupe_chunks(chunking.chunk(files), scope="file_name")
         if max_vectors is not None:
-            stored = 0 if known is None else others.count()
-            if stored + chunks.count() > max_vectors:
+            chunks = cut_lineage(chunks, "chunks")
+            others = 0 if stored is None else read_index(spark, path, batch_id).join(files, "file_name", "left_anti").count()
+            if others + chunks.count() > max_vectors:
                 raise VectorLimitExceeded(f"vector_limit_exceeded: max={max_vectors}")
-        models.embed_chunks(chunks, dim).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        written = f"{path}/batch={batch_id}"
+        models.embed_chunks(chunks, dim).write.mode("overwrite").parquet(written)
+        counted = spark.read.schema("file_name string").parquet(written).groupBy("file_name").agg(F.count(F.lit(1)).alias("n_chunks"))
+        judged.join(counted, "file_name", "left").select(
+            "file_name", "content_hash", F.coalesce("reason", F.when(F.col("n_chunks").isNull(), "no_valid_chunks")).alias("reason"),
+        ).write.mode("overwrite").parquet(f"{path}/_files/batch={batch_id}")
 
     return sink
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema("file_name string, content_hash string, reason string, batch bigint").parquet(f"{path}/_files")
+    except AnalysisException as error:
+        if is_missing(error):
+            return None
+        raise
+
+
+def _current(files: DataFrame) -> DataFrame:
+    """(file_name, batch, content_hash) of each file's last accepted content."""
+    last = F.max(F.struct("batch", "content_hash")).alias("last")
+    return files.filter("reason IS NULL").groupBy("file_name").agg(last).select("file_name", "last.*")
+
+
+def read_index(spark: SparkSession, path: str, before_batch: int | None = None) -> DataFrame:
+    """Chunks of each file's last accepted content, as all batches or those before one have left them."""
+    files = _files(spark, path)
+    if before_batch is not None:
+        files = files.filter(F.col("batch") < before_batch)
+    chunks = spark.read.parquet(path)
+    return chunks.withColumn("batch", F.col("batch").cast("bigint")).join(
+        _current(files).drop("content_hash"), ["file_name", "batch"], "left_semi")
+
+
+def index_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """file_name, content_hash, reason, batch of every refused file."""
+    return _files(spark, path).filter("reason IS NOT NULL")

@@ -203,3 +203,34 @@ def test_index_sink_is_replay_safe_and_capped(spark, tmp_path):
     assert spark.read.parquet(path).count() == first > 0
     with pytest.raises(jobs.VectorLimitExceeded):
         jobs.index_sink(path, dim=16, max_vectors=first)(spark.createDataFrame([("d.txt", text[::-1])], files.schema), 2)
+
+
+def test_index_replaces_changed_files_and_keeps_rejects(spark, tmp_path):
+    def words(start):
+        return " ".join(f"word{i}" for i in range(start, start + 60))
+
+    def state():
+        rows = jobs.read_index(spark, path).select("file_name", "batch", "text").collect()
+        return {(r["file_name"], r["batch"], r["text"].split()[0]) for r in rows}
+
+    def refused():
+        return {(r["file_name"], r["batch"], r["reason"]) for r in jobs.index_rejects(spark, path).collect()}
+
+    path = str(tmp_path / "index")
+    sink = jobs.index_sink(path, dim=16)
+
+    def arrive(batch, *files):
+        sink(spark.createDataFrame(list(files), "file_name string, content string"), batch)
+
+    arrive(0, ("a", words(0)), ("b", words(100)), ("c", "short"), (None, words(0)), ("d", None), ("b", words(100)))
+    assert state() == {("a", 0, "word0"), ("b", 0, "word100")}
+    assert refused() == {("c", 0, "too_short"), (None, 0, "MISSING_FILE_NAME"), ("d", 0, "empty")}
+    for _ in range(2):   # the batch comes twice
+        arrive(1, ("a", words(200)), ("b", words(100)), ("b", "?"), ("c", words(300)))
+        assert state() == {("a", 1, "word200"), ("b", 0, "word100"), ("c", 1, "word300")}
+        assert ("b", 1, "too_short") in refused()
+    arrive(2, ("a", words(0)), ("e", words(400)), ("e", words(500)))   # back to its first content; two of one name
+    assert len(state()) == 4 and ("a", 2, "word0") in state()
+    assert ("e", 2, "replaced_in_batch") in refused() and len({s for s in state() if s[0] == "e"}) == 1
+    arrive(3, ("a", words(0)))
+    assert ("a", 2, "word0") in state() and len(state()) == 4
