@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kbspark.catalog import fixtures as X
 from kbspark.catalog import sqlkit as Q
+from kbspark.catalog import usage_queries as U
 from kbspark.catalog.fixtures import sql, table
 from kbspark.operators import chunking, dedupe
 from kbspark.session import cut_lineage, work_dir
@@ -322,13 +323,36 @@ def scan_jsonl_logs(spark, sf_dir):
 @query("sink_usage_upsert", sql("""SELECT tenant_id, strftime(ts, '%Y-%m') AS month, count(*) AS total_requests,
     count(*) FILTER (WHERE is_llm) AS llm_calls, count(*) FILTER (WHERE is_llm) * 5 AS estimated_ai_cost FROM shifted_log GROUP BY ALL"""))
 def sink_usage_upsert(spark, sf_dir):
+    from kbspark.sources import sinks
+
+    return sinks.read_usage(spark, stored_usage(spark, sf_dir), fan=2)
+
+
+def stored_usage(spark, sf_dir) -> str:
+    """The log's counters in five batches, the last of which arrives twice; entries are summed by twos."""
     from kbspark.operators import usage
     from kbspark.session import work_dir
     from kbspark.sources import sinks
 
     path = work_dir(spark, "usage")
     log = X.shift_days(X.request_log(spark, sf_dir), 15)
-    early = F.col("ts") < F.lit("2024-02-01").cast("timestamp")
-    for batch, part in enumerate((log.filter(early), log.filter(~early), log.filter(~early))):
-        sinks.add_usage(usage.monthly_usage(part), path, min(batch, 1))  # the second batch arrives twice
-    return sinks.read_usage(spark, path)
+    for batch in (0, 1, 2, 3, 4, 4):
+        sinks.add_usage(usage.usage_increments(log.filter(F.pmod(F.dayofmonth("ts"), F.lit(5)) == batch)), path, batch, fan=2)
+    return path
+
+
+@query("sink_usage_daily", U.ORACLES["usage_daily"])
+def sink_usage_daily(spark, sf_dir):
+    from kbspark.sources import sinks
+
+    days = sinks.read_daily_usage(spark, stored_usage(spark, sf_dir), fan=2)
+    return U.day_text(days, "usage_date")
+
+
+@query("sink_usage_peak_day", U.ORACLES["usage_peak_day"])
+def sink_usage_peak_day(spark, sf_dir):
+    from kbspark.operators import usage
+    from kbspark.sources import sinks
+
+    peaks = usage.peak_day(sinks.read_daily_usage(spark, stored_usage(spark, sf_dir), fan=2))
+    return U.day_text(peaks, "peak_day")

@@ -10,6 +10,7 @@ from kbspark.catalog import kb_queries as KB
 from kbspark.catalog import sqlkit as Q
 from kbspark.catalog import usage_queries as U
 from kbspark.catalog.fixtures import sql
+from kbspark.operators import usage
 from kbspark.session import ensure_utc, work_dir
 from kbspark.sources import readers, sinks
 from kbspark.streaming import jobs
@@ -56,12 +57,26 @@ def quota_state_stream(spark, sf_dir):
     return finished(spark, jobs.quota(log, U.REQUEST_CAP, U.LLM_CAP), "quota")
 
 
-@query("usage_counters_stream", U.ORACLES["usage_monthly"])
-def usage_counters_stream(spark, sf_dir):
+def streamed_usage(spark, sf_dir) -> str:
     path = work_dir(spark, "usage-stream")
     log = X.shift_days(log_stream(spark, sf_dir), 15)
     jobs.run_available(log, path, work_dir(spark, "usage-progress"), jobs.usage_sink(path))
-    return sinks.read_usage(spark, path)
+    return path
+
+
+@query("usage_counters_stream", U.ORACLES["usage_monthly"])
+def usage_counters_stream(spark, sf_dir):
+    return sinks.read_usage(spark, streamed_usage(spark, sf_dir))
+
+
+@query("usage_daily_stream", U.ORACLES["usage_daily"])
+def usage_daily_stream(spark, sf_dir):
+    return U.day_text(sinks.read_daily_usage(spark, streamed_usage(spark, sf_dir)), "usage_date")
+
+
+@query("usage_peak_day_stream", U.ORACLES["usage_peak_day"])
+def usage_peak_day_stream(spark, sf_dir):
+    return U.day_text(usage.peak_day(sinks.read_daily_usage(spark, streamed_usage(spark, sf_dir))), "peak_day")
 
 
 def closing_event(events, folder: str) -> None:

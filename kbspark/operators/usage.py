@@ -33,6 +33,14 @@ def daily_usage(log: DataFrame, keys=("tenant_id",)) -> DataFrame:
         F.count(F.lit(1)).alias("llm_calls"))
 
 
+def usage_increments(log: DataFrame, keys=("tenant_id",), cost: int = K.COST_PER_LLM_CALL) -> DataFrame:
+    """Counters of each key and day: sums of them over parts of a log are those of
+    the whole, and months and peak days follow from them."""
+    calls = F.count_if(F.col("is_llm"))
+    return log.groupBy(*keys, month_of(F.col("ts")).alias("month"), F.to_date("ts").alias("usage_date")).agg(
+        F.count(F.lit(1)).alias("total_requests"), calls.alias("llm_calls"), (calls * cost).alias("estimated_ai_cost"))
+
+
 def usage_totals(log: DataFrame, keys=("tenant_id",), cost: int = K.COST_PER_LLM_CALL) -> DataFrame:
     """(keys, month, usage_date, of_month, total_requests, llm_calls, estimated_ai_cost, first_us) of
     every day and, without a date, every month: one pass over the log sums days, and both

@@ -178,13 +178,79 @@ def _checked(spark: SparkSession, path: str, version: str | None, content: bool)
 COUNTERS = ("total_requests", "llm_calls", "estimated_ai_cost")
 
 
-def add_usage(delta: DataFrame, path: str, batch_id: int) -> None:
-    """Add counter increments (tenant_id, month, counters). Increments of a
-    batch are one folder, written again as a whole if the batch is replayed;
-    no stored row is read or changed."""
-    delta.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-
-def read_usage(spark: SparkSession, path: str, keys=("tenant_id", "month")) -> DataFrame:
-    """Current counters: the sums of all increments."""
-    return spark.read.parquet(path).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTERS])
+FAN = 16   # entries of one level that make up an entry of the next
+
+
+def _entries(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """(level, block) of the committed entries; what a failed job has left carries no mark."""
+    fs, folder = _folder(spark, path)
+    found = []
+    for level in (fs.listStatus(folder) if fs.exists(folder) else []):
+        for block in fs.listStatus(level.getPath()):
+            if fs.exists(_folder(spark, f"{block.getPath()}/_SUCCESS")[1]):
+                found.append(tuple(int(p.getName().split("=")[1]) for p in (level.getPath(), block.getPath())))
+    return sorted(found)
+
+
+def _covered(entry: tuple[int, int], entries: list[tuple[int, int]], fan: int) -> bool:
+    """An entry of a higher level holds this one's increments."""
+    level, block = entry
+    return any(above > level and block // fan ** (above - level) == other for above, other in entries)
+
+
+def _usage_rows(spark: SparkSession, path: str, entries: list[tuple[int, int]], keys) -> DataFrame:
+    schema = ", ".join([*(f"{k} string" for k in keys), "month string", "usage_date date", *(f"{c} bigint" for c in COUNTERS)])
+    if not entries:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{path}/level={level}/block={block}" for level, block in entries])
+
+
+def add_usage(delta: DataFrame, path: str, batch_id: int, keys=("tenant_id",), fan: int = FAN) -> None:
+    """Add increments of the daily counters (keys, month, usage_date, counters); keys are strings.
+
+    A batch's increments are one entry of level 0, written again as a whole if the
+    batch is replayed, so they count once. Batches come in ascending order and only the last
+    is ever replayed, as ``foreachBatch`` has it. Once a later batch is there, ``fan`` entries of a
+    level are summed into one of the next, which is never written again; they are
+    deleted by the call after that, so that readers at work keep their files. At most
+    about two times ``fan`` entries of a level remain, and a row is summed once a level."""
+    spark = delta.sparkSession
+    stored = _entries(spark, path)
+    if any(level and batch_id < (block + 1) * fan ** level for level, block in stored):
+        raise ValueError(f"batch {batch_id} comes after its successors were summed up")
+    delta.select(*keys, "month", "usage_date", *COUNTERS).write.mode("overwrite").parquet(f"{path}/level=0/block={batch_id}")
+    for level, block in stored:
+        if _covered((level, block), stored, fan):
+            fs, folder = _folder(spark, f"{path}/level={level}/block={block}")
+            fs.delete(folder, True)
+    stored = [e for e in stored if not _covered(e, stored, fan)]
+    level = 0
+    while any(e[0] >= level for e in stored):
+        # A block is full when the batch at hand lies beyond its end.
+        full = sorted({b // fan for lv, b in stored if lv == level and (b // fan + 1) * fan ** (level + 1) <= batch_id})
+        for block in full:
+            parts = [(level, b) for lv, b in stored if lv == level and b // fan == block]
+            rows = _summed(_usage_rows(spark, path, parts, keys), [*keys, "month", "usage_date"])
+            rows.write.mode("overwrite").parquet(f"{path}/level={level + 1}/block={block}")
+            stored = [e for e in stored if e not in parts] + [(level + 1, block)]
+        level += 1
+
+
+def _summed(rows: DataFrame, keys) -> DataFrame:
+    return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTERS])
+
+
+def _current(spark: SparkSession, path: str, keys, fan: int) -> DataFrame:
+    stored = _entries(spark, path)
+    return _usage_rows(spark, path, [e for e in stored if not _covered(e, stored, fan)], keys)
+
+
+def read_usage(spark: SparkSession, path: str, keys=("tenant_id",), fan: int = FAN) -> DataFrame:
+    """Current monthly counters. No rows where nothing is stored yet."""
+    return _summed(_current(spark, path, keys, fan), [*keys, "month"])
+
+
+def read_daily_usage(spark: SparkSession, path: str, keys=("tenant_id",), fan: int = FAN) -> DataFrame:
+    """Calls of each day that has any; ``usage.peak_day`` takes them."""
+    days = _current(spark, path, keys, fan).groupBy(*keys, "usage_date").agg(F.sum("llm_calls").alias("llm_calls"))
+    return days.filter("llm_calls > 0")

@@ -68,9 +68,9 @@ def quota(log: DataFrame, request_cap: int, llm_cap: int, lateness: str = LATENE
         outputMode="Append", timeMode="EventTime")
 
 
-def usage_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """Add each micro-batch's totals; a replayed batch counts once."""
-    return lambda batch, batch_id: sinks.add_usage(usage.monthly_usage(batch), path, batch_id)
+def usage_sink(path: str, fan: int = sinks.FAN) -> Callable[[DataFrame, int], None]:
+    """Add each micro-batch's daily counters; a replayed batch counts once."""
+    return lambda batch, batch_id: sinks.add_usage(usage.usage_increments(batch), path, batch_id, fan=fan)
 
 
 def log_sink(path: str) -> Callable[[DataFrame, int], None]:

@@ -145,6 +145,48 @@ def test_usage_stream_equals_batch(spark, event_files, tmp_path):
     want = usage.monthly_usage(X.request_log(spark, SF_DIR))
     columns = ("tenant_id", "month", "total_requests", "llm_calls", "estimated_ai_cost")
     assert pairs(sinks.read_usage(spark, str(tmp_path / "usage")), *columns) == pairs(want, *columns)
+    days = sinks.read_daily_usage(spark, str(tmp_path / "usage"))
+    daily = usage.daily_usage(X.request_log(spark, SF_DIR))
+    assert pairs(days, "tenant_id", "usage_date", "llm_calls") == pairs(daily, "tenant_id", "usage_date", "llm_calls")
+    peaks = ("tenant_id", "month", "peak_day")
+    assert pairs(usage.peak_day(days), *peaks) == pairs(usage.peak_day(daily), *peaks)
+
+
+def test_usage_increments_are_summed_into_levels(spark, tmp_path):
+    path = str(tmp_path / "usage")
+    assert sinks.read_usage(spark, path).count() == 0
+    day = "timestamp'2024-01-01 10:00:00' + make_dt_interval({})"
+
+    def add(batch):
+        log = spark.range(batch + 1).select(F.lit("t").alias("tenant_id"), F.expr(day.format(batch % 3)).alias("ts"), F.lit(True).alias("is_llm"))
+        sinks.add_usage(usage.usage_increments(log), path, batch, fan=2)
+
+    calls = {}
+    for batch in range(9):
+        add(batch)
+        if batch in (3, 4, 8):
+            os.remove(f"{path}/level=0/block={batch}/_SUCCESS")   # the batch failed before its end
+            add(batch)                                            # and is replayed
+        calls[batch % 3] = calls.get(batch % 3, 0) + batch + 1
+        row = sinks.read_usage(spark, path, fan=2).first()
+        assert row["total_requests"] == row["llm_calls"] == sum(calls.values())
+        days = {r["usage_date"].day - 1: r["llm_calls"] for r in sinks.read_daily_usage(spark, path, fan=2).collect()}
+        assert days == calls
+    assert sum(len(os.listdir(f"{path}/{level}")) for level in os.listdir(path)) <= 6
+    os.makedirs(f"{path}/level=2/block=7")   # an entry that was never committed is not read
+    assert sinks.read_usage(spark, path, fan=2).first()["total_requests"] == sum(calls.values())
+    with pytest.raises(ValueError):
+        add(1)
+
+
+def test_usage_of_odd_logs(spark, tmp_path):
+    path = str(tmp_path / "usage")
+    log = spark.createDataFrame([(None, dt.datetime(2024, 1, 1), None), ("t", None, True)], "tenant_id string, ts timestamp, is_llm boolean")
+    sinks.add_usage(usage.usage_increments(log.limit(0)), path, 0)
+    assert sinks.read_usage(spark, path).count() == 0
+    sinks.add_usage(usage.usage_increments(log), path, 1)
+    rows = sorted((r["tenant_id"] or "", r["month"] or "", r["total_requests"], r["llm_calls"]) for r in sinks.read_usage(spark, path).collect())
+    assert rows == [("", "2024-01", 1, 0), ("t", "", 1, 1)]
 
 
 def test_interaction_stream_equals_batch(spark, event_files, tmp_path):
