@@ -374,6 +374,12 @@ def interaction_states(log: DataFrame) -> DataFrame:
         F.concat(F.lit("ref AB-"), (F.col("event_id") + 1000).cast("string")).alias("key_points"),
         F.col("ts").alias("created_at"),
         (F.col("ts") + F.expr("INTERVAL 2 HOURS")).alias("expires_at"),
+        F.when(F.col("event_id") % 2 == 0, "customer_support").otherwise("internal_ops").alias("workflow_type"),
+        F.concat(F.lit("refund for a.b@c.org, request "), F.col("event_id").cast("string")).alias("ops_query"),
+        F.when(F.col("event_id") % 3 != 0, "refund").alias("intent"),
+        (F.col("event_id") % 3 != 0).alias("intent_model_used"),
+        ((F.col("event_id") % 100) / 100).alias("intent_confidence"),
+        ((F.col("event_id") % 50) / 50).alias("retrieval_confidence"),
     )
 
 
@@ -385,14 +391,17 @@ def interaction_lookups(log: DataFrame) -> DataFrame:
         (e + F.when(e % 10 == 0, 1_000_000).otherwise(0)).cast("string").alias("interaction_id"),
         "tenant_id",
         (F.col("ts") + F.make_dt_interval(mins=(e % 240).cast("int"))).alias("requested_at"),
+        F.concat(F.lit("Answer "), e.cast("string")).alias("generated_response"),
     )
 
 
 STATES = """SELECT CAST(event_id AS VARCHAR) AS interaction_id, tenant_id,
     'call +91 98765 43210 or mail a.b@c.org about ' || ip AS purpose, 'ref AB-' || (event_id + 1000) AS key_points,
-    ts AS created_at, ts + INTERVAL 2 HOUR AS expires_at FROM request_log WHERE endpoint = 'api_retrieve'"""
+    ts AS created_at, ts + INTERVAL 2 HOUR AS expires_at, CASE WHEN event_id % 2 = 0 THEN 'customer_support' ELSE 'internal_ops' END AS workflow_type,
+    'refund for a.b@c.org, request ' || event_id AS ops_query, CASE WHEN event_id % 3 <> 0 THEN 'refund' END AS intent, event_id % 3 <> 0 AS intent_model_used,
+    CAST(event_id % 100 AS DOUBLE) / 100 AS intent_confidence, CAST(event_id % 50 AS DOUBLE) / 50 AS retrieval_confidence FROM request_log WHERE endpoint = 'api_retrieve'"""
 LOOKUPS = """SELECT event_id AS lookup_id, CAST(event_id + CASE WHEN event_id % 10 = 0 THEN 1000000 ELSE 0 END AS VARCHAR)
-    AS interaction_id, tenant_id, ts + to_minutes(event_id % 240) AS requested_at
+    AS interaction_id, tenant_id, ts + to_minutes(event_id % 240) AS requested_at, 'Answer ' || event_id AS generated_response
     FROM request_log WHERE endpoint = 'api_retrieve'"""
 
 CTES = {

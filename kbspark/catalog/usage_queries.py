@@ -10,6 +10,8 @@ from kbspark.catalog import sqlkit as Q
 from kbspark.catalog.fixtures import sql
 from kbspark.functions import rules
 from kbspark.operators import access, limits, usage
+from kbspark.session import work_dir
+from kbspark.sources import sinks
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -230,6 +232,19 @@ def interaction_audit(spark, sf_dir):
         "lookup_id", "interaction_id", "tenant_id", "purpose", "key_points", "decision_outcome")
 
 
+@query("interaction_log", sql(f"""SELECT k.interaction_id, k.tenant_id, CAST(NULL AS VARCHAR) AS session_id, workflow_type, {Q.mask('purpose', 'strict')} AS purpose,
+    {Q.mask('key_points', 'strict')} AS key_points, {Q.mask('ops_query', 'strict')} AS ops_query, intent, intent_model_used, intent_confidence,
+    retrieval_confidence, 'allowed' AS decision_outcome, generated_response FROM lookups k JOIN states s ON s.interaction_id = k.interaction_id
+    AND s.tenant_id = k.tenant_id WHERE k.requested_at BETWEEN s.created_at AND s.expires_at"""))
+def interaction_log(spark, sf_dir):
+    path = work_dir(spark, "interaction-log")
+    looked_up_rows = looked_up(spark, sf_dir)
+    odd = F.col("lookup_id") % 2
+    for batch, part in ((0, odd == 0), (1, odd == 1), (1, odd == 1)):   # the second batch arrives twice
+        sinks.write_audit(access.audit_log(looked_up_rows.filter(part)), path, batch)
+    return sinks.read_audit(spark, path, access.AUDIT_SCHEMA)
+
+
 ADMIT_RATE = {"api_retrieve": 3, "api_predict": 3, "api_ingest_kb": 2, "api_feedback": 3}
 ADMIT_ABUSE = {"api_retrieve": 4, "api_predict": 3, "api_ingest_kb": 3}
 ADMIT_CAPS = (110, 22)
@@ -254,15 +269,28 @@ ADMISSION = {
 }
 
 
-@query("request_admission_replay", sql("""SELECT event_id, CASE scope_code WHEN 401 THEN 'unknown_key' ELSE 'missing_scope' END AS outcome
-    FROM entitled WHERE scope_code <> 200 UNION ALL SELECT event_id, outcome FROM second WHERE outcome IS NOT NULL
-    UNION ALL SELECT event_id, outcome FROM third WHERE outcome IS NOT NULL
-    UNION ALL SELECT event_id, CASE WHEN rn >= stop_rn THEN reason ELSE 'admitted' END FROM numbered n LEFT JOIN stops s
-    ON n.api_key = s.api_key AND n.month = s.month""", recursive=True, **ADMISSION))
+ADMISSION["capped"] = f"""SELECT n.*, CASE WHEN rn >= stop_rn THEN s.reason ELSE 'admitted' END AS outcome,
+    coalesce(rn < stop_rn OR (rn = stop_rn AND s.reason = '{K.LLM_CAP_REASON}'), true) AS counted
+    FROM (SELECT * EXCLUDE (outcome) FROM numbered) n LEFT JOIN stops s ON n.api_key = s.api_key AND n.month = s.month"""
+
+
+@query("request_admission_replay", sql("""SELECT event_id, CASE scope_code WHEN 401 THEN 'unknown_key' ELSE 'missing_scope' END AS outcome, false AS counted
+    FROM entitled WHERE scope_code <> 200 UNION ALL SELECT event_id, outcome, false FROM second WHERE outcome IS NOT NULL
+    UNION ALL SELECT event_id, outcome, false FROM third WHERE outcome IS NOT NULL
+    UNION ALL SELECT event_id, outcome, counted FROM capped""", recursive=True, **ADMISSION))
 def request_admission_replay(spark, sf_dir):
+    return replayed(spark, sf_dir).select("event_id", "outcome", "counted")
+
+
+@query("admission_usage", sql("""SELECT tenant_id, month, count(*) AS total_requests, count(*) FILTER (WHERE is_llm AND outcome = 'admitted') AS llm_calls,
+    count(*) FILTER (WHERE is_llm AND outcome = 'admitted') * 5 AS estimated_ai_cost FROM capped WHERE counted GROUP BY ALL""", recursive=True, **ADMISSION))
+def admission_usage(spark, sf_dir):
+    return access.counted_usage(replayed(spark, sf_dir))
+
+
+def replayed(spark, sf_dir):
     given = rules.ticket_gate(F.col("purpose"), F.lit("internal_ops"), F.lit(""), F.lit(""), F.lit("refund window"))
-    out = access.admission_replay(
+    return access.admission_replay(
         X.request_log(spark, sf_dir), X.api_keys(spark, sf_dir), ADMIT_RATE, ADMIT_ABUSE, *ADMIT_CAPS,
         rate_seconds=ADMIT_SECONDS, abuse_seconds=ADMIT_SECONDS, skew_seconds=600,
         input_ok=(F.col("endpoint") != "api_retrieve") | (given["gate_status"] == "PASS"))
-    return out.select("event_id", "outcome")

@@ -49,15 +49,39 @@ def audit_rows(looked_up: DataFrame, masked=("purpose", "key_points", "ops_query
     return valid.withColumns({c: X.mask_pii(F.col(c)) for c in present}).withColumn("decision_outcome", F.lit("allowed"))
 
 
+# The columns of the interaction log.
+AUDIT_SCHEMA = (
+    "interaction_id string, tenant_id string, session_id string, workflow_type string, purpose string, key_points string, "
+    "ops_query string, intent string, intent_model_used boolean, intent_confidence double, retrieval_confidence double, "
+    "decision_outcome string, generated_response string")
+
+
+def audit_log(looked_up: DataFrame) -> DataFrame:
+    """The interaction log's thirteen columns of every valid lookup: personal data
+    masked, columns that the lookup does not have null, others left out."""
+    rows = audit_rows(looked_up)
+    return rows.select(*[
+        (F.col(f"`{name}`") if name in rows.columns else F.lit(None)).cast(kind).alias(name)
+        for name, kind in (c.split() for c in AUDIT_SCHEMA.split(", "))
+    ])
+
+
+def counted_usage(replayed: DataFrame, keys=("tenant_id",)) -> DataFrame:
+    """Monthly counters of a replayed log. A call that the cap on calls refused counts as a request, not as a call."""
+    called = F.col("is_llm") & (F.col("outcome") == "admitted")
+    return usage.monthly_usage(replayed.filter("counted").withColumn("is_llm", called), keys)
+
+
 def admission_replay(
     log: DataFrame, api_keys: DataFrame, rate_limits: dict, abuse_limits: dict, request_cap: int, llm_cap: int,
     rate_seconds: int = K.RATE_WINDOW_SECONDS, abuse_seconds: int = K.ABUSE_WINDOW_SECONDS,
     skew_seconds: int = K.MAX_SKEW_SECONDS, input_ok: Column | None = None,
 ) -> DataFrame:
-    """event_id and ``outcome`` of every request, as the gates in server order
+    """event_id, ``outcome`` and ``counted`` of every request, as the gates in server order
     leave it: key and scope, rate limit, clock skew, key status, input, abuse
     limit, monthly caps. Each gate sees only what the ones before let through;
-    the rate limit counts a request before its time stamp is checked."""
+    the rate limit counts a request before its time stamp is checked. Usage counts
+    what was admitted and the one call at which the cap on calls disabled a key."""
     ok = F.lit(True) if input_ok is None else input_ok
     first = entitlement(log, api_keys)
     outcome = F.when(F.col("scope_code") == 401, "unknown_key").when(F.col("scope_code") == 403, "missing_scope")
@@ -83,8 +107,9 @@ def admission_replay(
     counted = usage.autoblock(third.filter("outcome is null").drop("outcome"), request_cap, llm_cap)
     fourth = counted.withColumn(
         "outcome", F.when(F.col("allowed"), "admitted").otherwise(F.col("block_reason")))
-    decided = [f.filter("outcome is not null").select(*order, "api_key", "endpoint", "outcome") for f in (first, second, third)]
-    out = fourth.select(*order, "api_key", "endpoint", "outcome")
+    given = [*order, "ts", "api_key", "tenant_id", "endpoint", "is_llm", "outcome"]
+    decided = [f.filter("outcome is not null").select(*given, F.lit(False).alias("counted")) for f in (first, second, third)]
+    out = fourth.select(*given, "counted")
     for part in decided:
         out = out.unionByName(part)
     return out

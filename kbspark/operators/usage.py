@@ -104,12 +104,16 @@ def blocks(
 
 
 def autoblock(log: DataFrame, request_cap: int, llm_cap: int, keys=("api_key",)) -> DataFrame:
-    """The log with ``allowed`` and ``block_reason`` per request."""
+    """The log with ``allowed``, ``block_reason`` and ``counted`` per request. Usage
+    is written between the two caps, so the call that crosses the cap on calls is counted."""
     when = blocks(log, request_cap, llm_cap, keys)
     dated = log.withColumn("month", month_of(F.col("ts")))
-    late = F.coalesce(F.struct("us", "event_id") >= F.col("blocked_at"), F.lit(False))
-    return dated.join(when, [*keys, "month"], "left").withColumn("allowed", ~late).withColumn(
-        "block_reason", F.when(late, F.col("reason")).otherwise("")).drop("blocked_at", "reason")
+    pos = F.struct("us", "event_id")
+    late = F.coalesce(pos >= F.col("blocked_at"), F.lit(False))
+    refused_call = F.coalesce((pos == F.col("blocked_at")) & (F.col("reason") == K.LLM_CAP_REASON), F.lit(False))
+    return dated.join(when, [*keys, "month"], "left").withColumns({
+        "allowed": ~late, "block_reason": F.when(late, F.col("reason")).otherwise(""), "counted": ~late | refused_call,
+    }).drop("blocked_at", "reason")
 
 
 def quota_counters(log: DataFrame, request_cap: int, llm_cap: int, keys=("api_key",)) -> DataFrame:

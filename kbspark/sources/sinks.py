@@ -47,6 +47,21 @@ def write_logs(df: DataFrame, path: str, batch_id: int | None = None) -> None:
         lines.write.mode("overwrite").text(f"{path}/batch={batch_id}")
 
 
+def write_audit(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Add a batch of audit rows; written again, the batch replaces itself."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def read_audit(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all batches; none where nothing is stored yet."""
+    try:
+        return spark.read.schema(schema).parquet(path).drop("batch")
+    except AnalysisException as error:
+        if not is_missing(error):
+            raise
+        return spark.createDataFrame([], schema)
+
+
 # -- vectors --------------------------------------------------------------
 
 VECTOR_SCHEMA = ("chunk_id bigint, file_name string, chunk_index int, text string, embedding array<float>, "

@@ -353,6 +353,33 @@ def test_contest_along_a_long_chain_takes_few_rounds(spark, monkeypatch):
     assert rounds == {x.id for x in dedupe.resolve_edges(edges.where("a < 60"), nodes).collect()} and "acting" in saves
 
 
+def test_usage_counts_the_call_that_crosses_the_cap_on_calls(spark):
+    """Three calls allowed: the fourth is refused but counted as a request, later ones are not."""
+    log = spark.range(8).select(
+        F.col("id").alias("event_id"), F.col("id").alias("us"), F.lit("2024-01-05").cast("timestamp").alias("ts"),
+        F.lit("k").alias("api_key"), F.lit("t").alias("tenant_id"), F.lit(True).alias("is_llm"), F.lit(True).alias("is_capped"))
+    by_calls = {r["event_id"]: (r["allowed"], r["counted"]) for r in usage.autoblock(log, 100, 3).collect()}
+    assert by_calls == {i: (i < 3, i < 4) for i in range(8)}
+    by_requests = {r["event_id"]: (r["allowed"], r["counted"]) for r in usage.autoblock(log, 3, 3).collect()}
+    assert by_requests == {i: (i < 3, i < 3) for i in range(8)}   # on one row the request cap comes first
+    outcome = F.when(F.col("allowed"), "admitted").otherwise(F.col("block_reason"))
+    row = access.counted_usage(usage.autoblock(log, 100, 3).withColumn("outcome", outcome)).first()
+    assert (row["total_requests"], row["llm_calls"], row["estimated_ai_cost"]) == (4, 3, 15)
+
+
+def test_audit_log_has_every_column(spark):
+    names = [c.split()[0] for c in access.AUDIT_SCHEMA.split(", ")]
+    rows = spark.createDataFrame(
+        [("1", "t", "valid", "mail a.b@c.org", "x"), ("2", "t", "expired", "p", "y"), ("3", "t", "valid", None, None)],
+        "interaction_id string, tenant_id string, state_status string, ops_query string, extra string")
+    out = access.audit_log(rows)
+    assert out.columns == names and len(names) == 13
+    got = {r["interaction_id"]: r for r in out.collect()}
+    assert set(got) == {"1", "3"} and "a.b@c.org" not in got["1"]["ops_query"]
+    assert got["3"]["ops_query"] is None or got["3"]["ops_query"] == ""
+    assert got["1"]["decision_outcome"] == "allowed" and got["1"]["generated_response"] is None
+
+
 def test_usage_and_alerts_read_the_log_once(spark):
     """Days and months, peaks and rules come from one stored sum of one scan."""
     rows = [(i, f"t{i % 3}", i % 2 == 0, dt.datetime(2024, 1 + i % 2, 1 + i % 27, 5)) for i in range(400)] + [(900, None, None, dt.datetime(2024, 3, 1))]
