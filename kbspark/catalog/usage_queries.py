@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from kbspark import constants as K
 from kbspark.catalog import fixtures as X
@@ -11,7 +13,7 @@ from kbspark.catalog.fixtures import sql
 from kbspark.functions import rules
 from kbspark.operators import access, limits, usage
 from kbspark.session import work_dir
-from kbspark.sources import sinks
+from kbspark.sources import readers, sinks
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -245,6 +247,62 @@ def interaction_log(spark, sf_dir):
     return sinks.read_audit(spark, path, access.AUDIT_SCHEMA)
 
 
+def log_rows(spark, sf_dir) -> dict:
+    """Rows of each kind of log, from requests, states and lookups."""
+    log = X.request_log(spark, sf_dir).withColumns({
+        "request_id": F.col("event_id").cast("string"), "created_at": F.col("ts"), "timestamp": F.col("ts"),
+        "interaction_id": F.col("event_id").cast("string"), "ip_hash": F.sha2("ip", 256)})
+    valid = access.audit_log(looked_up(spark, sf_dir)).withColumn("request_id", F.concat(F.lit("r"), "interaction_id"))
+    hit = F.struct(F.lit(1).alias("rank"), F.col("retrieval_confidence").alias("score"), F.lit("KB").alias("source"),
+                   F.col("key_points").alias("chunk_preview"))
+    summary = F.struct(F.col("ops_query").alias("summary"), F.array("purpose", "key_points").alias("key_details"))
+    return {
+        "api_requests": log.withColumns({"status": F.lit("success"), "latency_ms": F.col("event_id") % 900, "user_agent": F.lit('a "b"\\c')}),
+        "escalation": log.filter("event_id % 5 = 0").withColumn("escalation_reason", F.lit("low confidence\nof the answer")),
+        "kb_ingestion_status": log.filter("endpoint = 'api_ingest_kb'").withColumns({
+            "status": F.when(F.col("event_id") % 2 == 0, "success").otherwise("failure"), "filename": F.concat("request_id", F.lit(".txt")),
+            "error": F.when(F.col("event_id") % 2 == 1, "too_many_vectors")}),
+        "intent_model_status": valid.withColumn("intent_status", F.when(F.col("intent_model_used"), "ok").otherwise("unused")),
+        "api_retrieval_results": valid.withColumn("retrieval_results", F.array(hit)),
+        "api_predict_results": valid.withColumns({"customer_context_summary": summary, "generated_reply": F.col("generated_response")}),
+        "feedback": log.filter("endpoint = 'api_feedback'").withColumns({
+            "feedback_type": F.when(F.col("rating") > 3, "positive").otherwise("other"), "comment": F.trim("purpose")}),
+    }
+
+
+LOG_TEXTS = {   # what is compared of each kind; a missing field is empty
+    "api_requests": ("request_id", "endpoint", "status", "latency_ms", "user_agent", "ip_hash"),
+    "escalation": ("request_id", "tenant_id", "escalation_reason", "ip_hash"),
+    "kb_ingestion_status": ("request_id", "status", "filename", "error"),
+    "intent_model_status": ("interaction_id", "intent", "intent_model_used", "intent_status"),
+    "api_retrieval_results": ("interaction_id", "retrieval_results[0].rank", "retrieval_results[0].chunk_preview"),
+    "api_predict_results": ("request_id", "purpose", "ops_query", "customer_context_summary.key_details[1]", "generated_reply"),
+    "feedback": ("interaction_id", "rating", "feedback_type", "comment"),
+}
+VALID_LOG = f"""SELECT k.interaction_id, {Q.mask('purpose', 'strict')} AS purpose, {Q.mask('key_points', 'strict')} AS key_points, intent, intent_model_used,
+    {Q.mask('ops_query', 'strict')} AS ops_query, generated_response FROM lookups k JOIN states s ON s.interaction_id = k.interaction_id
+    AND s.tenant_id = k.tenant_id WHERE k.requested_at BETWEEN s.created_at AND s.expires_at"""
+
+
+@query("log_round_trip", sql("""SELECT 'api_requests' AS kind, concat(event_id, '|', endpoint, '|success|', event_id % 900, '|a "b"\\c|', sha256(ip)) AS record FROM request_log
+    UNION ALL SELECT 'escalation', concat(event_id, '|', tenant_id, '|low confidence', chr(10), 'of the answer|', sha256(ip)) FROM request_log WHERE event_id % 5 = 0
+    UNION ALL SELECT 'kb_ingestion_status', concat(event_id, CASE WHEN event_id % 2 = 0 THEN '|success|' ELSE '|failure|' END, event_id, '.txt|',
+        CASE WHEN event_id % 2 = 1 THEN 'too_many_vectors' END) FROM request_log WHERE endpoint = 'api_ingest_kb'
+    UNION ALL SELECT 'intent_model_status', concat(interaction_id, '|', intent, '|', intent_model_used, CASE WHEN intent_model_used THEN '|ok' ELSE '|unused' END) FROM valid_log
+    UNION ALL SELECT 'api_retrieval_results', concat(interaction_id, '|1|', key_points) FROM valid_log
+    UNION ALL SELECT 'api_predict_results', concat('r', interaction_id, '|', purpose, '|', ops_query, '|', key_points, '|', generated_response) FROM valid_log
+    UNION ALL SELECT 'feedback', concat(event_id, '|', rating, CASE WHEN rating > 3 THEN '|positive|' ELSE '|other|' END, trim(purpose))
+        FROM request_log WHERE endpoint = 'api_feedback'""", valid_log=VALID_LOG))
+def log_round_trip(spark, sf_dir):
+    path = work_dir(spark, "all-logs")
+    parts = []
+    for kind, rows in log_rows(spark, sf_dir).items():
+        sinks.write_log(rows, path, kind)
+        texts = [F.coalesce(F.expr(c).cast("string"), F.lit("")) for c in LOG_TEXTS[kind]]
+        parts.append(readers.scan_logs(spark, f"{path}/{kind}", kind).select(F.lit(kind).alias("kind"), F.concat_ws("|", *texts).alias("record")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 ADMIT_RATE = {"api_retrieve": 3, "api_predict": 3, "api_ingest_kb": 2, "api_feedback": 3}
 ADMIT_ABUSE = {"api_retrieve": 4, "api_predict": 3, "api_ingest_kb": 3}
 ADMIT_CAPS = (110, 22)

@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType, StructType
 
 from kbspark.functions import text as X
 from kbspark.session import is_missing
+from kbspark.sources.readers import LOG_SCHEMAS
 
 
 def guard_strings(df: DataFrame) -> DataFrame:
@@ -47,6 +48,15 @@ def write_logs(df: DataFrame, path: str, batch_id: int | None = None) -> None:
         lines.write.mode("overwrite").text(f"{path}/batch={batch_id}")
 
 
+def write_log(rows: DataFrame, path: str, kind: str, batch_id: int | None = None) -> None:
+    """Append rows to the log of a kind in its own folder, with the fields of its schema
+    (``readers.LOG_SCHEMAS``): fields the rows do not have are null, other columns are left out."""
+    fields = StructType.fromDDL(LOG_SCHEMAS[kind]).fields
+    typed = rows.select(*[
+        (F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+    write_logs(typed, f"{path}/{kind}", batch_id)
+
+
 def write_audit(rows: DataFrame, path: str, batch_id: int) -> None:
     """Add a batch of audit rows; written again, the batch replaces itself."""
     rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")

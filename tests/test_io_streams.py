@@ -179,6 +179,32 @@ def test_usage_increments_are_summed_into_levels(spark, tmp_path):
         add(1)
 
 
+def test_logs_of_every_kind_keep_their_fields(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    rows = spark.createDataFrame(
+        [("t", "1", dt.datetime(2024, 1, 1, 10, 0, 0, 123456), 5, "x"), (None, None, None, None, None)],
+        "tenant_id string, request_id string, created_at timestamp, latency_ms int, stray string")
+    for kind in readers.LOG_SCHEMAS:
+        sinks.write_log(rows, path, kind, 0)
+        sinks.write_log(rows, path, kind, 0)   # the batch is replayed
+        names = [f.split()[0] for f in readers.LOG_SCHEMAS[kind].replace("struct<", "").split(", ")]
+        back = readers.scan_logs(spark, f"{path}/{kind}", kind)
+        assert [c for c in back.columns if c != "batch"] == [n.split(":")[0] for n in names]
+        assert back.count() == 2 and "stray" not in back.columns
+    first = readers.scan_logs(spark, f"{path}/api_requests", "api_requests").filter("request_id = '1'").first()
+    assert first["created_at"] == dt.datetime(2024, 1, 1, 10, 0, 0, 123456) and first["latency_ms"] == 5 and first["ip_hash"] is None
+    sinks.write_log(rows.limit(0), path, "feedback", 1)
+    assert readers.scan_logs(spark, f"{path}/feedback", "feedback").count() == 2
+
+
+def test_audit_batches_replace_themselves(spark, tmp_path):
+    path = str(tmp_path / "audit")
+    assert sinks.read_audit(spark, path, "a int").count() == 0
+    for batch, value in ((0, 1), (1, 2), (1, 2)):
+        sinks.write_audit(spark.range(1).select(F.lit(value).alias("a")), path, batch)
+    assert sorted(r["a"] for r in sinks.read_audit(spark, path, "a int").collect()) == [1, 2]
+
+
 def test_usage_of_odd_logs(spark, tmp_path):
     path = str(tmp_path / "usage")
     log = spark.createDataFrame([(None, dt.datetime(2024, 1, 1), None), ("t", None, True)], "tenant_id string, ts timestamp, is_llm boolean")
