@@ -42,10 +42,22 @@ def _overlapping(df: DataFrame, width: int, before: int = 0, after: int = 0) ->
 
 
 def trailing_counts(log: DataFrame, keys, window_us: int) -> DataFrame:
-    """``raw``: requests of the key in (t - window, t], refused or not."""
-    in_window = Window.partitionBy(*keys, "bucket").orderBy("us").rangeBetween(-(window_us - 1), Window.currentRow)
-    wide = _overlapping(log, SPAN * window_us, before=window_us)
-    return wide.withColumn("raw", F.count(F.lit(1)).over(in_window)).filter("home").drop("home", "bucket")
+    """``raw``: requests of the key in (t - window, t], refused or not.
+
+    A request counts from its own time until it leaves the window: both are marks on
+    the time line, and a running sum of the marks is what is in the window. A frame that slides
+    over the rows would count the whole window again for every row."""
+    width = SPAN * window_us
+    wide = _overlapping(log, width, before=window_us)
+    leaves = F.col("us") + window_us
+    marks = F.array(
+        F.struct(F.col("us").alias("at"), F.lit(1).alias("step")),
+        # Nothing of the bucket comes after its end.
+        F.when(leaves < (F.col("bucket") + 1) * width, F.struct(leaves.alias("at"), F.lit(-1).alias("step"))))
+    marked = wide.withColumn("_m", F.explode(F.filter(marks, lambda m: m.isNotNull())))
+    upto = Window.partitionBy(*keys, "bucket").orderBy("_m.at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = marked.withColumn("raw", F.coalesce(F.sum("_m.step").over(upto), F.lit(0).cast("long")))
+    return counted.filter(F.col("home") & (F.col("_m.step") > 0)).drop("home", "bucket", "_m")
 
 
 def _dense_stretches(rows: DataFrame, keys, window_us: int) -> DataFrame:
@@ -70,9 +82,10 @@ def _with_context(rows: DataFrame, stretches: DataFrame, keys, window_us: int) -
     width = SPAN * window_us
     calm = rows.filter("not dense").withColumn("stretch", F.lit(None).cast("long"))
     both = _overlapping(calm.unionByName(stretches.select(*calm.columns)), width, after=window_us)
-    ahead = Window.partitionBy(*keys, "bucket").orderBy("us", "event_id").rowsBetween(
-        Window.currentRow, Window.unboundedFollowing)
-    coming = F.first(F.when(F.col("dense"), F.struct("us", "stretch")), ignorenulls=True).over(ahead)
+    # Backwards in time: a frame that ends with the group is read anew for each of its rows.
+    ahead = Window.partitionBy(*keys, "bucket").orderBy(F.desc("us"), F.desc("event_id")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    coming = F.last(F.when(F.col("dense"), F.struct("us", "stretch")), ignorenulls=True).over(ahead)
     near = both.withColumn("coming", coming).filter("home").filter(F.col("coming.us") - F.col("us") < window_us)
     return near.withColumn("stretch", F.col("coming.stretch")).drop("coming", "home")
 

@@ -205,6 +205,27 @@ def test_window_boundary(spark):
     assert got == {1: True, 2: False, 3: True}
 
 
+def test_trailing_counts_by_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(f"k{rng.randrange(2)}", rng.randrange(4000), i) for i in range(400)] + [("k0", None, 400), ("k0", None, 401)]
+    log = spark.createDataFrame(rows, "k string, us bigint, event_id bigint")
+    got = {r["event_id"]: r["raw"] for r in limits.trailing_counts(log, ["k"], 50).collect()}
+    assert got == {e: sum(o == k and ((u is None and t is None) or (u is not None and t is not None and t - 50 < u <= t)) for o, u, _ in rows)
+                   for k, t, e in rows}
+
+
+def test_sliding_log_frames_begin_with_their_group(spark):
+    """Spark carries a sum along such frames; one that slides, or ends with the group, is read anew for every row."""
+    log = spark.createDataFrame([("k", 1, 1)], "api_key string, us bigint, event_id bigint")
+    counted = limits.trailing_counts(log, ["api_key"], 50)
+    rows = counted.withColumn("dense", F.col("raw") > 1).drop("raw")
+    context = limits._with_context(rows, rows.withColumn("stretch", F.lit(1).cast("long")), ["api_key"], 50)
+    for frame in (counted, context):
+        plan = frame._jdf.queryExecution().analyzed().toString()
+        frames = [part.split(")")[0] for part in plan.split("specifiedwindowframe(")[1:]]
+        assert frames and all("unboundedpreceding$(" in f for f in frames)
+
+
 def test_quota_stops_counting(spark):
     day = "2024-01-0{} 00:00:00"
     rows = [(i, day.format(1 + i // 4), i % 2 == 0) for i in range(12)] + [(99, "2024-02-01 00:00:00", True)]
