@@ -81,3 +81,9 @@ def balanced(df: DataFrame, *keys: str) -> DataFrame:
 def is_missing(error: AnalysisException) -> bool:
     """The path does not exist, or holds no data file yet."""
     return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """A folder of the store, which need not be a local one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()

@@ -12,7 +12,7 @@ from kbspark import constants as K
 from kbspark.functions import text as X
 from kbspark.operators import access, chunking, models, usage
 from kbspark.plans import kb
-from kbspark.session import DEFAULTS, cut_lineage, is_missing
+from kbspark.session import DEFAULTS, cut_lineage, is_folder, is_missing
 from kbspark.sources import sinks
 from kbspark.streaming.processors import MonthlyQuota, SlidingLog
 
@@ -27,12 +27,14 @@ def stateful(spark: SparkSession) -> None:
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A parquet table of the folder as a stream of its files."""
-    schema = spark.read.parquet(f"{folder}/{name}").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    """A parquet table of the folder, one file or a folder of files, as a stream of its files."""
+    table = f"{folder}/{name}"
+    reader = spark.readStream.schema(spark.read.parquet(table).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    if is_folder(spark, table):
+        return reader.parquet(table)
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def run_available(

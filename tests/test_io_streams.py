@@ -125,6 +125,19 @@ def pairs(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
 
 
+def test_table_stream_of_a_file_and_of_a_folder(spark, tmp_path):
+    """Small tables are one file, larger ones a folder of files of the same name."""
+    rows = spark.range(30).withColumn("text", F.lit("x"))
+    rows.repartition(3).write.parquet(str(tmp_path / "large" / "t.parquet"))
+    (tmp_path / "small").mkdir()
+    rows.toPandas().to_parquet(str(tmp_path / "small" / "t.parquet"))
+    rows.limit(3).toPandas().to_parquet(str(tmp_path / "small" / "other.parquet"))
+    for kind in ("small", "large"):
+        stream = jobs.table_stream(spark, str(tmp_path / kind), "t.parquet")
+        jobs.run_available(stream, str(tmp_path / f"{kind}-out"), str(tmp_path / f"{kind}-progress"))
+        assert spark.read.schema("id long, text string").parquet(str(tmp_path / f"{kind}-out")).count() == 30
+
+
 def test_limit_stream_equals_batch(spark, event_files, tmp_path):
     stream = jobs.limited(stream_of(spark, event_files), ("endpoint",), U.RATE, U.RATE_SECONDS)
     batch = limits.sliding_log(
