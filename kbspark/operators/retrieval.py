@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow.dataset as ds
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -16,7 +17,8 @@ from kbspark.session import work_dir
 
 CORPUS_BLOCK = 32_768       # rows of one corpus block, about
 QUERY_BLOCK = 4096          # rows of one query block, about
-CELLS = 4_000_000           # distances held at once by one worker
+READ_BUFFER = 1 << 20       # bytes read at once of a file of queries
+CELLS = 1_000_000           # distances held at once by one worker
 HIT_SCHEMA = "query_id bigint, source string, chunk_id bigint, distance double"
 
 
@@ -27,7 +29,7 @@ def _top_k(q_ids, q, c_ids, c, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     their distances are then summed term by term in double precision."""
     found = []
     c_norm = (c * c).sum(axis=1)
-    step = max(1, CELLS // max(len(c), 1))
+    step, near = max(1, CELLS // max(len(c), 1)), max(1, CELLS // max(c.shape[1], 1))
     for lo in range(0, len(q), step):
         part = q[lo:lo + step]
         rough = (part * part).sum(axis=1)[:, None] + c_norm[None, :] - 2.0 * (part @ c.T)
@@ -37,8 +39,10 @@ def _top_k(q_ids, q, c_ids, c, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
             qi, ci = np.nonzero(rough <= (bound + margin)[:, None])
         else:
             qi, ci = np.nonzero(np.ones_like(rough, dtype=bool))
-        gap = part[qi] - c[ci]
-        exact = (gap * gap).sum(axis=1)
+        exact = np.empty(len(qi))
+        for at in range(0, len(qi), near):   # equal vectors may make every cell a candidate
+            gap = part[qi[at:at + near]] - c[ci[at:at + near]]
+            exact[at:at + near] = (gap * gap).sum(axis=1)
         order = np.lexsort((c_ids[ci], exact, qi))
         qi, ci, exact = qi[order], ci[order], exact[order]
         first = np.searchsorted(qi, qi, side="left")
@@ -74,6 +78,17 @@ def _blocks(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]
         yield pd.concat(held)
 
 
+def stored_batches(folder: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """Rows of the parquet files of a folder, ``rows`` at a time. Files are read one after the other through a
+    buffer, without reading ahead, so that a worker holds a batch and not row groups of several files."""
+    system, path = fs.FileSystem.from_uri(folder if ":" in folder.split("/")[0] else f"file://{folder}")
+    files = system.get_file_info(fs.FileSelector(path))
+    for name in sorted(f.path for f in files if f.is_file and f.size and f.base_name[0] not in "_."):
+        with system.open_input_file(name) as source:
+            stored = pq.ParquetFile(source, buffer_size=READ_BUFFER, pre_buffer=False)
+            yield from stored.iter_batches(batch_size=rows, use_threads=False)
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, budgets: dict[str, int] | None = None) -> DataFrame:
     """Nearest chunks of each query and source: query_id, source, chunk_id,
     distance (squared L2). ``queries`` is (query_id, vector), ``corpus``
@@ -88,14 +103,11 @@ def nearest(queries: DataFrame, corpus: DataFrame, budgets: dict[str, int] | Non
         "chunk_id", "source", "embedding")
     folder = work_dir(corpus.sparkSession, "queries")
     queries.filter(F.col("vector").isNotNull()).select("query_id", "vector").write.parquet(folder)
-    uri = folder if ":" in folder.split("/")[0] else f"file://{folder}"
     c_rows, q_rows = CORPUS_BLOCK, QUERY_BLOCK
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, path = fs.FileSystem.from_uri(uri)
-        stored = ds.dataset(path, format="parquet", filesystem=system)
         for block in _blocks(batches, c_rows):
-            for asked in _blocks((b.to_pandas() for b in stored.to_batches(batch_size=q_rows)), q_rows):
+            for asked in _blocks((b.to_pandas() for b in stored_batches(folder, q_rows)), q_rows):
                 vecs = np.stack(asked["vector"].to_numpy()).astype("float64")
                 yield _hits(asked["query_id"].to_numpy(), vecs, block, budgets)
 

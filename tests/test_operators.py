@@ -9,6 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +166,27 @@ def test_nearest_equals_brute_force(spark, monkeypatch, small):
     assert got == want
 
 
+def test_stored_queries_are_read_in_small_batches(spark, tmp_path):
+    """One file with a single row group: its batches bear no relation to it."""
+    path = str(tmp_path / "queries")
+    rows = spark.range(5000).select(F.col("id").alias("query_id"), F.array_repeat(F.col("id").cast("double"), 64).alias("vector"))
+    rows.coalesce(1).write.parquet(path)
+    before = pa.total_allocated_bytes()
+    sizes, ids, most = [], [], 0
+    for batch in retrieval.stored_batches(path, 100):
+        sizes.append(len(batch))
+        ids += batch["query_id"].to_pylist()
+        most = max(most, pa.total_allocated_bytes() - before)
+    assert max(sizes) <= 100 and sorted(ids) == list(range(5000))
+    assert most < 5000 * 64 * 8 / 2
+
+
+def test_nearest_among_equal_vectors_holds_few_candidates(monkeypatch):
+    monkeypatch.setattr(retrieval, "CELLS", 600)
+    ids, chunks, distance = retrieval._top_k(np.arange(50), np.ones((50, 8)), np.arange(300), np.ones((300, 8)), 3)
+    assert ids.tolist() == sorted(list(range(50)) * 3) and chunks.tolist() == [0, 1, 2] * 50 and not distance.any()
+
+
 def test_confidence(spark):
     cases = [([], 0.0), ([0.2], 0.5 * (1 - 0.25)), ([0.0, 0.8], 1.0), ([0.9, 0.9], 0.0), ([0.4, 0.2, 0.6], 0.5 * 0.75 + 0.3 * 0.25 + 0.2 * 0.375)]
     rows = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(cases)], "i int, s array<double>")
