@@ -120,6 +120,27 @@ def test_near_duplicates_equal_the_sequential_rule(spark, hot_block):
     assert got == fallen(alike([Counter(d) for d in docs], 0.9), strengths)
 
 
+def test_scanned_pairs_equal_brute_force(spark, monkeypatch):
+    """Long rows over few terms: more pairs meet at terms than there are pairs of rows."""
+    monkeypatch.setattr(dedupe, "SCAN_BLOCK", 16)
+    monkeypatch.setattr(dedupe, "SCAN_BATCH", 7)
+    rng = np.random.default_rng(11)
+    counts = rng.integers(0, 4, size=(90, 40)).astype(float)
+    counts[30:60] = counts[:30] + (rng.random((30, 40)) < 0.08)
+    counts[60] = 2 * counts[1]
+    rows = [(i, f"t{j}", float(counts[i, j])) for i in range(90) for j in range(40) if counts[i, j]]
+    vectors = spark.createDataFrame(rows, "id bigint, term string, weight double")
+    unit = counts / np.linalg.norm(counts, axis=1)[:, None]
+    want = {(i, j) for i, j in combinations(range(90), 2) if unit[i] @ unit[j] > 0.96}
+    assert len(want) > 20
+    got = dedupe.near_pairs(dedupe.signatures(vectors, 0.96), vectors, 0.96, 2000)
+    assert "MapInArrow" in got._jdf.queryExecution().analyzed().toString()
+    assert "Join" not in got._jdf.queryExecution().analyzed().toString()
+    assert {tuple(r) for r in got.collect()} == want
+    ids = vectors.select("id").distinct()
+    assert {tuple(r) for r in dedupe.scanned_pairs(vectors, ids, 90, 0.96).collect()} == want
+
+
 @pytest.mark.parametrize("strengths", [(3, 1, 2), (1, 2, 3), (1, 3, 2), (2, 2, 2), (3, 2, 1)])
 def test_contest_of_a_chain(spark, strengths):
     """A~B~C, A and C unlike: what B's loss leaves standing."""
