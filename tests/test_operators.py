@@ -3,9 +3,13 @@ near-copies, one key with most rows, boundaries and ties."""
 
 import datetime as dt
 import math
+import os
 import random
+import re
+import time
 from collections import Counter
 from itertools import combinations
+from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
@@ -18,7 +22,7 @@ from kbspark.functions import text as X
 from kbspark.operators import access, chunking, dedupe, grams, graph, limits, retrieval, tickets, usage
 from kbspark.operators.graph import components
 from kbspark.plans import kb
-from kbspark.session import work_dir
+from kbspark.session import SHUFFLE_CLEANUP, cut_lineage, work_dir
 
 # -- de-duplication -------------------------------------------------------
 
@@ -463,3 +467,30 @@ def test_usage_and_alerts_read_the_log_once(spark):
     rules = usage.alert_fast_burn(log, now, expected_calls=10).collect()
     assert rules and all(r.message in got[r.tenant_id, r.month].alerts for r in rules)
     assert usage.usage_and_alerts(log.limit(0), now).count() == 0
+
+
+def test_contained_ids_leave_only_their_ids_in_the_shared_folder(spark):
+    folder = os.path.dirname(urlparse(work_dir(spark, "any")).path)
+    stored = cut_lineage(spark.createDataFrame(
+        [(i, f"row {i} of a text that is long enough to have anchors, {i * 7919} and more") for i in range(40)]
+        + [(100, "7919 and more"), (101, "row 3 of a text that is long enough to have anchors, 23757 and")], "id long, text string").repartition(4), "given")
+    before = set(os.listdir(folder))
+    gone = dedupe.contained_ids(stored, stored=True)
+    assert {re.sub("-[0-9a-f]{12}$", "", name) for name in set(os.listdir(folder)) - before} == {"gone"}
+    assert {r["id"] for r in gone.collect()} == {100, 101}
+
+
+def test_a_stored_stage_keeps_no_shuffle_files(spark):
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def shuffled():
+        return {name for top in folders for _, _, names in os.walk(top) for name in names if name.startswith("shuffle_")}
+
+    setting, before = spark.conf.get(SHUFFLE_CLEANUP, None), shuffled()
+    moved = cut_lineage(spark.range(100_000).repartition(4, "id"), "moved")
+    for _ in range(50):   # files go in the background
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert moved.count() == 100_000 and spark.conf.get(SHUFFLE_CLEANUP, None) == setting
