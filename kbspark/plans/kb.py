@@ -8,7 +8,7 @@ from kbspark import constants as K
 from kbspark.functions import rules as R
 from kbspark.functions import text as X
 from kbspark.operators import chunking, dedupe, models
-from kbspark.session import cut_lineage
+from kbspark.session import cut_lineage, passing
 from kbspark.sources import sinks
 
 CHUNK_COLUMNS = ("source", "file_name", "chunk_index", "text")
@@ -36,11 +36,15 @@ def chunk_order():
 def dedupe_chunks(chunks: DataFrame, threshold: float = K.SEMANTIC_THRESHOLD, scope: str | None = None) -> DataFrame:
     """Exact repeats, contained texts, then near-duplicates removed."""
     ranked = chunks.withColumn("priority", chunking.source_priority(F.col("source")))
-    # Sorting looks at its input twice, so the texts are prepared once and kept.
-    unique = cut_lineage(dedupe.drop_repeats(ranked, chunk_order(), scope=(scope,) if scope else ()), "unique")
-    numbered = dedupe.in_order(unique, chunk_order(), "id")
-    whole = dedupe.drop_contained(numbered, scope=scope)
-    kept = dedupe.drop_near_duplicates(whole, "id", F.col("priority"), threshold=threshold, scope=scope)
+    spark = chunks.sparkSession
+    # Each stage goes when the next one is stored.
+    with passing(spark) as cut:
+        with passing(spark) as cut_first:
+            # Sorting looks at its input twice, so the texts are prepared once and kept.
+            unique = cut_first(dedupe.drop_repeats(ranked, chunk_order(), scope=(scope,) if scope else ()), "unique")
+            numbered = dedupe.in_order(unique, chunk_order(), "id", cut)
+        whole = cut_lineage(dedupe.drop_contained(numbered, scope=scope, stored=True), "whole")
+    kept = dedupe.drop_near_duplicates(whole, "id", F.col("priority"), threshold=threshold, scope=scope, stored=True)
     return kept.drop("id", "priority")
 
 

@@ -494,3 +494,36 @@ def test_a_stored_stage_keeps_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not shuffled() - before
     assert moved.count() == 100_000 and spark.conf.get(SHUFFLE_CLEANUP, None) == setting
+
+
+def test_pairs_told_apart_by_sketches_are_not_written(spark):
+    rng = random.Random(5)
+    words = {i: [f"w{i % 3}"] * 2 + [f"c{rng.randrange(400)}" for _ in range(24)] for i in range(120)}
+    words |= {300 + i: words[i] + ["c1"] for i in range(0, 120, 4)}
+    counts = {i: Counter(w) for i, w in words.items()}
+    vectors = spark.createDataFrame([(i, t, float(n)) for i, c in counts.items() for t, n in c.items()], "id long, term string, weight double")
+    near = {(a, b) for a, b in combinations(sorted(counts), 2) if sum(n * counts[b][t] for t, n in counts[a].items())
+            > 0.96 * math.sqrt(sum(n * n for n in counts[a].values()) * sum(n * n for n in counts[b].values()))}
+    stages = {}
+
+    def cut(df, name):
+        stages[name] = cut_lineage(df, name)
+        return stages[name]
+
+    # Every row's signature begins with a term that a third of the rows share.
+    sig = dedupe.signatures(vectors, 0.96).select(
+        "id", F.concat(F.lit("w"), (F.col("id") % 3).cast("string")).alias("term"), F.lit(1.0).alias("weight"), F.lit(1.0).alias("rest"), F.lit(1.0).alias("tail")).distinct()
+    got = {tuple(r) for r in dedupe.near_pairs(sig, vectors, 0.96, 2000, cut).collect()}
+    assert got == {(a, b) for a, b in near if a % 3 == b % 3} and got
+    assert stages["pairs"].count() < 3 * len(got)
+
+
+def test_near_duplicate_ids_leave_only_their_ids_in_the_shared_folder(spark):
+    folder = os.path.dirname(urlparse(work_dir(spark, "any")).path)
+    vectors = spark.createDataFrame([(i, f"t{i // 2}", 1.0) for i in range(20)], "id long, term string, weight double")
+    nodes = spark.range(20).withColumn("strength", F.lit(1))
+    before = set(os.listdir(folder))
+    gone = dedupe.near_duplicate_ids(vectors, nodes, 0.9)
+    left = {re.sub("-[0-9a-f]{12}$", "", name) for name in set(os.listdir(folder)) - before}
+    assert "gone" in left and not left & {"vectors", "signatures", "nodes", "pairs", "sorted"}
+    assert {r["id"] for r in gone.collect()} == set(range(1, 20, 2))
