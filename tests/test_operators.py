@@ -7,7 +7,7 @@ import os
 import random
 import re
 import time
-from collections import Counter
+from collections import Counter, defaultdict
 from itertools import combinations
 from urllib.parse import urlparse
 
@@ -388,6 +388,83 @@ def test_files_of_one_name_in_a_batch(spark):
     assert got["D.txt"] == (None, False) and got["d.txt"] == (None, True)
 
 
+def test_only_admitted_files_are_cleaned(spark):
+    text = "words enough to be a file of the knowledge base, " * 4
+    rows = [("a.txt", 1000, None, text), ("b.exe", 1000, None, text), ("c.txt", 1 << 30, None, text), ("d.txt", 1000, "bad", text),
+            ("old.txt", 1000, None, text), ("short.txt", 1000, None, "few")]
+    manifest = spark.createDataFrame(
+        [(n, s, False, h, c) for n, s, h, c in rows],
+        "file_name string, size_bytes bigint, overwrite boolean, client_hash string, content string")
+    admitted = kb.admit(manifest, spark.createDataFrame([("old.txt",)], "file_name string"))
+    got = {r["file_name"]: (r["reason"], r["clean_text"]) for r in admitted.collect()}
+    assert got == {
+        "a.txt": (None, text.strip()), "b.exe": ("UNSUPPORTED_FILE_TYPE", None), "c.txt": ("FILE_TOO_LARGE", None),
+        "d.txt": ("hash_mismatch", None), "old.txt": ("kb_file_already_exists", None), "short.txt": ("too_short", "few")}
+
+
+def scoped_chunks(seed, sizes):
+    """(source, file_name, chunk_index, text): copies, parts and near copies, some of them of another file's texts."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 7))) for _ in range(60)]
+    pool, rows = [], []
+    for file, n in enumerate(sizes):
+        for i in range(n):
+            text = " ".join(rng.choice(words) for _ in range(rng.randint(25, 40)))
+            kind = rng.random()
+            if pool and kind < 0.5:
+                near = rng.choice(pool[-40:]).split(" ")
+                text = " ".join(near[3:12] if kind < 0.15 else near if kind < 0.25 else near[::-1] if kind < 0.35 else near + [rng.choice(words)])
+            pool.append(text)
+            rows.append(("UPLOADED_KB", f"f{file}", i, text if rng.random() < 0.97 else "..." * rng.randint(1, 3)))
+    return rows
+
+
+def kept_by_hand(texts):
+    """What one file keeps: first of each text, no part of another, winners of the contests in order."""
+    rows = [t for t in dict.fromkeys(texts)]
+    rows = [a for a in rows if not any(len(a) < len(b) and a in b for b in rows)]
+    counts = [Counter(re.findall("[a-zà-ÿ0-9]+", t.lower())) for t in rows]
+    gone = set()
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            x, y = counts[a], counts[b]
+            near = sum(x[w] * y[w] for w in x) > 0.96 * math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+            if near and a not in gone and b not in gone:
+                gone.add(b if len(rows[a]) >= len(rows[b]) else a)
+    return {t for i, t in enumerate(rows) if i not in gone}
+
+
+def test_files_are_deduplicated_on_their_own(spark, monkeypatch):
+    """In groups, and beyond the rows of a group by the steps of a whole table: by hand the same."""
+    monkeypatch.setattr(dedupe, "SCOPE_ROWS", 30)
+    monkeypatch.setattr(dedupe, "SCOPE_TERMS", 16)
+    sizes = [1, 2, 5, 13, 29, 30, 31, 60, *range(3, 20)]
+    rows = scoped_chunks(5, sizes)
+    chunks = spark.createDataFrame(rows, "source string, file_name string, chunk_index int, text string").repartition(5)
+    out = kb.dedupe_chunks(chunks, scope="file_name")
+    assert out.columns == chunks.columns
+    got, want = defaultdict(list), {}
+    for r in out.collect():
+        got[r["file_name"]].append(r["text"])
+        assert (r["source"], r["file_name"], r["chunk_index"], r["text"]) in rows
+    for f in range(len(sizes)):
+        want[f"f{f}"] = sorted(kept_by_hand([t for _, name, _, t in rows if name == f"f{f}"]))
+    assert sum(map(len, want.values())) < len(rows)
+    assert {f: sorted(t) for f, t in got.items()} == want
+
+
+def test_small_files_share_their_steps(spark):
+    """The jobs behind files of few chunks are few, whatever is found in them."""
+    chunks = spark.createDataFrame(scoped_chunks(6, [13] * 20), "source string, file_name string, chunk_index int, text string")
+    context = spark.sparkContext
+    context.setJobGroup("small files", "small files")
+    try:
+        kb.dedupe_chunks(chunks, scope="file_name").count()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(context.statusTracker().getJobIdsForGroup("small files")) <= 15
+
+
 def test_components_by_brute_force(spark):
     r = random.Random(9)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1200)] + [(2000, 2000)]
