@@ -604,3 +604,19 @@ def test_near_duplicate_ids_leave_only_their_ids_in_the_shared_folder(spark):
     left = {re.sub("-[0-9a-f]{12}$", "", name) for name in set(os.listdir(folder)) - before}
     assert "gone" in left and not left & {"vectors", "signatures", "nodes", "pairs", "sorted"}
     assert {r["id"] for r in gone.collect()} == set(range(1, 20, 2))
+
+
+def test_needles_are_anchored_by_their_first_window_alone(monkeypatch):
+    seen, plain = [], grams.Windows
+    monkeypatch.setattr(grams, "Windows", lambda texts, salts: (seen.append(texts.str.len().max()), plain(texts, salts))[1])
+    texts = [f"text {i} " + "many words that follow one another " * i for i in range(12)]
+    whole = pd.DataFrame({"text": texts, "salt": np.int64(1)})
+    heads = whole.assign(size=whole["text"].str.len(), text=whole["text"].str.slice(0, grams.NEEDLE_CHARS))
+    one, other = (pd.concat(grams.needles(iter([x]))) for x in (whole, heads))
+    assert max(seen) == grams.NEEDLE_CHARS == 64
+    assert one.equals(other) and set(one["size"]) >= {len(t) for t in texts}
+
+
+def test_a_text_is_cut_into_strides_once(spark):
+    cut = spark.range(1).select(X.chunk_texts(F.lit("a text"), 4, 3).alias("parts"))
+    assert cut._jdf.queryExecution().analyzed().toString().lower().count("regexp_extract_all") == 1
