@@ -17,6 +17,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from kbspark import session
 from kbspark.catalog import fixtures
 from kbspark.functions import text as X
 from kbspark.operators import access, chunking, dedupe, grams, graph, limits, retrieval, tickets, usage
@@ -620,3 +621,35 @@ def test_needles_are_anchored_by_their_first_window_alone(monkeypatch):
 def test_a_text_is_cut_into_strides_once(spark):
     cut = spark.range(1).select(X.chunk_texts(F.lit("a text"), 4, 3).alias("parts"))
     assert cut._jdf.queryExecution().analyzed().toString().lower().count("regexp_extract_all") == 1
+
+
+def test_near_duplicates_store_one_row_for_each_row_of_the_table(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(50))) for i in range(60)] + [(99, None), (None, "w1 w2"), (98, "")]
+    most, plain = {}, session._store
+
+    def store(df, path):
+        stage = plain(df, path)
+        name = re.sub("-[0-9a-f]{12}$", "", os.path.basename(path))
+        most[name] = max(most.get(name, 0), stage.count())
+        return stage
+
+    monkeypatch.setattr(session, "_store", store)
+    docs = spark.createDataFrame(rows, "id long, text string")
+    kept = dedupe.drop_near_duplicates(docs, "id", F.lit(0)).collect()
+    assert Counter(r["id"] for r in kept) == Counter([*range(60), 98, 99, None])
+    assert most["vectors"] == 60 and max(most.values()) <= len(rows)
+
+
+def test_words_are_counted_where_rows_lie(spark):
+    rows = [(1, "f", "b a b"), (2, "f", "c"), (1, "f", "a d"), (3, "g", "c"), (4, "f", ""), (5, "f", None), (None, "f", "c")]
+    df = spark.createDataFrame(rows, "id long, file string, text string")
+    got = {r["id"]: dict(zip(r["terms"], r["weights"])) for r in dedupe.counted_rows(df, "id", "text").collect()}
+    exploded = dedupe.term_counts(df, "id", "text").where("id is not null").select("id", F.xxhash64("term").alias("t"), "weight").collect()
+    want = {}
+    for r in exploded:
+        want.setdefault(r["id"], {})[r["t"]] = r["weight"]
+    assert got == want and set(got) == {1, 2, 3}
+    assert all(list(r["terms"]) == sorted(r["terms"]) for r in dedupe.counted_rows(df, "id", "text").collect())
+    scoped = {r["id"]: r["terms"] for r in dedupe.counted_rows(df, "id", "text", "file").collect()}
+    assert scoped[2] != scoped[3] and got[2] == got[3]
