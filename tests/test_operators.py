@@ -653,3 +653,32 @@ def test_words_are_counted_where_rows_lie(spark):
     assert all(list(r["terms"]) == sorted(r["terms"]) for r in dedupe.counted_rows(df, "id", "text").collect())
     scoped = {r["id"]: r["terms"] for r in dedupe.counted_rows(df, "id", "text", "file").collect()}
     assert scoped[2] != scoped[3] and got[2] == got[3]
+
+
+@pytest.mark.parametrize("hot_block", [1, 2000])
+def test_pairs_in_cells_and_turns_equal_brute_force(spark, monkeypatch, hot_block):
+    """Groups below and above FEW rows, blocks of one and of many cells, terms and pairs taken in turns."""
+    monkeypatch.setattr(dedupe, "ROW_ENTRIES", 1.9)
+    rng = random.Random(9)
+    seeds = [[f"s{k}w{j}" for j in range(40)] for k in range(3)]
+    docs = [seeds[i % 3] + [f"u{rng.randrange(400)}" for _ in range(rng.randrange(5))] for i in range(120)]
+    counts = [Counter(d) for d in docs]
+    vectors = spark.createDataFrame([(i, t, float(n)) for i, c in enumerate(counts) for t, n in c.items()], "id long, term string, weight double")
+    stages = []
+
+    def cut(df, name):
+        stages.append(name)
+        return cut_lineage(df, name)
+
+    # Every row begins with the terms of its seed, which 40 rows share.
+    sig = spark.createDataFrame([(i, f"s{i % 3}w{j}") for i in range(120) for j in range(2)], "id long, term string")
+    got = [tuple(r) for r in dedupe.near_pairs(sig, vectors, 0.96, hot_block, cut).collect()]
+    assert sorted(got) == sorted(alike(counts, 0.96)) and len(got) > 1000
+    assert stages.count("pairs") > 2 and stages.count("near") > 1
+
+
+def test_fragments_that_are_no_rows_text_are_not_shuffled(spark):
+    rows = spark.createDataFrame([(i, f"a needle of some length, number {i}") for i in range(50)], "id long, text string")
+    fragments = rows.select("text").union(spark.range(2000).select(F.concat(F.lit("a fragment of some length, number "), "id")))
+    left = [r["text"] for r in dedupe._some_text(fragments, rows).collect()]
+    assert {r["text"] for r in rows.collect()} <= set(left) and len(left) < 200
